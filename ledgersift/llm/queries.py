@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality
+from . import decontam, hmm, langid, quality
 from .common import crc_mod, read_table
 
 
@@ -14,6 +14,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs, ~F.col("held_out")), "held_out")
 
 
+def op3_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read_table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
@@ -25,7 +29,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op5_decontaminate, op9_quality)}
+    return {f.__name__: f for f in (op2_language_id, op3_hmm_score, op5_decontaminate, op9_quality)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
