@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hmm, langid, quality
+from . import ann, decontam, hmm, langid, quality
 from .common import crc_mod, read_table
 
 
@@ -28,8 +28,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_hmm_score, op5_decontaminate, op9_quality)}
+    return {f.__name__: f for f in (op2_language_id, op3_hmm_score, op5_decontaminate, op9_quality, op10_nearest)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
