@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, hmm, langid, quality
+from . import ann, decontam, hmm, langid, quality, wrapper
 from .common import crc_mod, read_table
 
 
@@ -22,6 +22,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
@@ -33,7 +37,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_hmm_score, op5_decontaminate, op9_quality, op10_nearest)}
+    return {f.__name__: f for f in (op2_language_id, op3_hmm_score, op5_decontaminate, op7_main_text, op9_quality, op10_nearest)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
