@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, hmm, langid, quality, wrapper
+from . import ann, decontam, hmm, langid, neardup, quality, wrapper
 from .common import crc_mod, read_table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), neardup.Shape(words=3, percent=85))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 3) == 1)
     return langid.predict(docs, langid.fit(docs, ~F.col("held_out")), "held_out")
@@ -37,7 +41,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_hmm_score, op5_decontaminate, op7_main_text, op9_quality, op10_nearest)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_hmm_score, op5_decontaminate, op7_main_text, op9_quality, op10_nearest)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
