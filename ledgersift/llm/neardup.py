@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Scratch, arrow_batches, components, hash_words, mix, slices
+from .common import SPACED, Scratch, arrow_batches, hash_words, linked_groups, mix, shared_buckets, slices
 
 
 @dataclass(frozen=True)
@@ -173,39 +173,9 @@ def link(docs: DataFrame, p: Shape = Shape()) -> tuple[DataFrame, DataFrame, Dat
     # equal sets have equal bands: any row of the class with its id has them
     reps = marks.where("n > 0").select(F.col("doc_id").alias("id"), "n", "d1", "d2", "bands").join(classes, ["n", "d1", "d2", "id"], "left_semi").dropDuplicates(["n", "d1", "d2"])
     classes = scratch.put(reps, "classes")
-    members = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    members = scratch.put(members.join(shared, "bucket"), "members")
+    members = shared_buckets(scratch, classes.select("id", "n", F.explode("bands").alias("bucket")))
     arrow_batches(spark, 100)
-    links, tested, roots, salts = None, None, None, 1
-    while True:
-        if roots is None:
-            at = members.withColumn("root", F.col("id"))
-        else:
-            at = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        at = at.select("bucket", "id", "n", "root")
-        undecided = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        at = scratch.put(at.join(undecided, "bucket", "left_semi"), "open")
-        if at.isEmpty():
-            break
-        salted = at.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-        pivots = salted.groupBy("bucket", "salt").agg(F.min("id").alias("pivot"))
-        pivots = pivots.join(at.select("bucket", F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("its")), ["bucket", "pivot"]).select("bucket", "pivot", "m", "its")
-        pivots = scratch.put(pivots, "pivots")
-        far = (F.col("root") != F.col("its")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * p.percent)
-        pairs = at.join(pivots, "bucket").where(far).select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.put(pairs, "pairs")
-        new = _verified(spark, scratch, docs, pairs, p)
-        tested = pairs if tested is None else tested.union(pairs)
-        links = new if links is None else links.union(new)
-        if not new.isEmpty():
-            roots = scratch.put(components(spark, scratch, links), "roots")
-        left = at.select("bucket", "id", "n").join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
-        members = scratch.put(left, "members")
-        salts = min(salts * 8, 512)
-        scratch.sweep()
+    roots = linked_groups(spark, scratch, members, lambda pairs: _verified(spark, scratch, docs, pairs, p), p.percent)
     return marks, classes, roots, scratch
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, hmm, langid, neardup, quality, wrapper
+from . import ann, decontam, hmm, langid, linededup, neardup, quality, wrapper
 from .common import crc_mod, read_table
 
 
@@ -26,6 +26,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_text(read_table(spark, sf_dir, "pages"))
 
@@ -41,7 +45,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_hmm_score, op5_decontaminate, op7_main_text, op9_quality, op10_nearest)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_hmm_score, op5_decontaminate, op6_line_dedup, op7_main_text, op9_quality, op10_nearest)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
