@@ -130,16 +130,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_runs(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes; the runs lie back to back."""
+def hash_runs(data: np.ndarray, lengths: np.ndarray, part: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; the runs lie back to back. Works on a part at a time, as it needs 30 times its bytes."""
     if not len(lengths):
         return np.zeros(0, np.uint64)
-    begin = np.cumsum(lengths) - lengths
+    end = np.cumsum(lengths)
     power = _power(int(lengths.max()) + 1)
-    place = np.arange(len(data)) - np.repeat(begin, lengths)
+    out = np.empty(len(lengths), np.uint64)
+    at = done = 0
     with np.errstate(over="ignore"):
-        h = np.add.reduceat(_BYTE_VALUE[data] * power[place], begin)
-        return mix(h + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        while at < len(lengths):
+            to = max(at + 1, int(np.searchsorted(end, done + part, side="right")))
+            size = lengths[at:to]
+            begin = end[at:to] - size - done
+            some = data[done : end[to - 1]]
+            place = np.arange(len(some)) - np.repeat(begin, size)
+            out[at:to] = np.add.reduceat(_BYTE_VALUE[some] * power[place], begin)
+            at, done = to, int(end[to - 1])
+        return mix(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -206,3 +214,49 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame, rounds:
             break
     roots = e.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return roots.union(e.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
+
+
+def shared_buckets(scratch: Scratch, members: DataFrame) -> DataFrame:
+    """Of (id, n, bucket), the rows of buckets with more than one id."""
+    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
+    shared = scratch.put(shared, "shared")
+    scratch.sweep()
+    return scratch.put(members.join(shared, "bucket").select("id", "n", "bucket").distinct(), "members")
+
+
+def linked_groups(spark: SparkSession, scratch: Scratch, members: DataFrame, verify, percent: int) -> DataFrame | None:
+    """Components of the links among members of one bucket; None if there is no link.
+
+    members: (id, n, bucket), n being the size of the id's set. ``verify`` takes pairs
+    (a, b) with a > b and returns those that are linked. In each round a few pivots of
+    every open bucket, the smallest id of each salt, are compared with those members of
+    other components whose size allows a link; then they leave the bucket. A bucket is
+    open as long as its members are in more than one component. So all pairs that share
+    a bucket are decided: they are in one component, or were compared. What is grouped is
+    summed up before the shuffle, and pairs number members times pivots at most.
+    """
+    links, tested, roots, salts = None, None, None, 1
+    while True:
+        at = members.withColumn("root", F.col("id")) if roots is None else members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        at = at.select("bucket", "id", "n", "root")
+        undecided = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        at = scratch.put(at.join(undecided, "bucket", "left_semi"), "open")
+        if at.isEmpty():
+            return roots
+        pivots = at.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).groupBy("bucket", "salt").agg(F.min("id").alias("pivot"))
+        pivots = pivots.join(at.select("bucket", F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("its")), ["bucket", "pivot"])
+        pivots = scratch.put(pivots.select("bucket", "pivot", "m", "its"), "pivots")
+        far = (F.col("root") != F.col("its")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+        pairs = at.join(pivots, "bucket").where(far).select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.put(pairs, "pairs")
+        new = verify(pairs)
+        tested = pairs if tested is None else tested.union(pairs)
+        links = new if links is None else links.union(new)
+        if not new.isEmpty():
+            roots = scratch.put(components(spark, scratch, links), "roots")
+        left = at.select("bucket", "id", "n").join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
+        members = scratch.put(left, "members")
+        salts = min(salts * 8, 512)
+        scratch.sweep()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACED, Scratch, arrow_batches, hash_runs, mix, text_buffers, word_spans
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 16 << 20
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
