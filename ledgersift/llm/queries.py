@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, hmm, langid, linededup, neardup, quality, wrapper
+from . import ann, decontam, hmm, langid, linededup, mixing, neardup, quality, wrapper
 from .common import crc_mod, read_table
 
 
@@ -34,6 +34,20 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_text(read_table(spark, sf_dir, "pages"))
 
 
+#: Sources are dealt to domains by the number in their name, as the table has no domains.
+DOMAIN = "concat('d', coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS bigint) % 3, 0))"
+WEIGHTS = {"domain": {"d0": 0.5, "d1": 0.3, "d2": 0.2}, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
+DEFAULT = {"domain": 0.1, "lang": 0.1, "source": 1.0}
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mixing.mix(docs, F.expr(DOMAIN), WEIGHTS, DEFAULT)
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
@@ -45,7 +59,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_hmm_score, op5_decontaminate, op6_line_dedup, op7_main_text, op9_quality, op10_nearest)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_hmm_score, op5_decontaminate, op6_line_dedup, op7_main_text, op8_mix_sources, op9_quality, op10_nearest)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -74,5 +88,49 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _shared(level: str, parent: str, key: str, weight: str, given: str) -> str:
+    """SQL of one level: children of a node are filled up to one level of water."""
+    p = f"PARTITION BY {parent}" if parent else ""
+    on = f"JOIN {given} USING ({parent})" if parent else f"CROSS JOIN {given}"
+    group = f"{parent}, {key}" if parent else key
+    return f"""
+{level}_a AS (SELECT {group}, sum(room) AS room, {weight} AS w FROM leaf GROUP BY {group}),
+{level}_b AS (SELECT a.*, given, room / w AS ratio FROM {level}_a a {on}),
+{level}_c AS (SELECT *,
+  greatest(given - coalesce(sum(room) OVER ({p} ORDER BY ratio, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)
+  / sum(w) OVER ({p} ORDER BY ratio, {key} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {level}_b),
+{level}_d AS (SELECT *, max(CASE WHEN ratio > level THEN level END) OVER ({p}) AS water FROM {level}_c),
+{level} AS (SELECT {group}, CASE WHEN water IS NULL THEN room ELSE least(room, water * w) END AS given FROM {level}_d)"""
+
+
+OP8_SQL = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(concat('d', coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) % 3, 0)), chr(1)) AS domain,
+    coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source,
+    CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ 	
+]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM documents
+),
+docs AS (SELECT * FROM t WHERE n_tokens > 0),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST(sum(n_tokens) AS DOUBLE) * 4 AS room FROM docs GROUP BY ALL),
+total AS (SELECT sum(tokens) * 0.5 AS given FROM leaf),
+{_shared("lv1", "", "domain", "CASE domain WHEN 'd0' THEN 0.5 WHEN 'd1' THEN 0.3 WHEN 'd2' THEN 0.2 ELSE 0.1 END::DOUBLE", "total")},
+{_shared("lv2", "domain", "lang", "CASE lang WHEN 'en' THEN 0.4 WHEN 'de' THEN 0.2 WHEN 'fr' THEN 0.2 WHEN 'es' THEN 0.2 ELSE 0.1 END::DOUBLE", "lv1")},
+{_shared("lv3", "domain, lang", "source", "1.0::DOUBLE", "lv2")},
+plan AS (
+  SELECT domain, lang, source, CAST(floor(round(given, 6) / tokens) AS INT) AS epochs,
+    floor(round(given, 6) - tokens * floor(round(given, 6) / tokens) + 1e-6) AS rest
+  FROM lv3 JOIN leaf USING (domain, lang, source)
+),
+ordered AS (
+  SELECT doc_id, domain, lang, source, n_tokens, epochs, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+    ORDER BY md5(concat_ws(':', '1', epochs::VARCHAR, coalesce(doc_id::VARCHAR, ''))), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+  FROM docs JOIN plan USING (domain, lang, source)
+)
+SELECT doc_id, nullif(domain, chr(1)) AS domain, nullif(lang, chr(1)) AS lang, nullif(source, chr(1)) AS source, n_tokens,
+  CAST(unnest(range(0, epochs + (upto <= rest)::INT)) AS INT) AS epoch
+FROM ordered
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL}
+    return {"op8_mix_sources": OP8_SQL, "op5_decontaminate": OP5_SQL}
