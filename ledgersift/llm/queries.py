@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, hmm, langid, linededup, mixing, neardup, quality, wrapper
+from . import ann, decontam, hmm, langid, linededup, mixing, neardup, quality, suffixdedup, wrapper
 from .common import crc_mod, read_table
 
 
@@ -22,6 +22,10 @@ def op3_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(read_table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
@@ -59,7 +63,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_hmm_score, op5_decontaminate, op6_line_dedup, op7_main_text, op8_mix_sources, op9_quality, op10_nearest)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_hmm_score, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_main_text, op8_mix_sources, op9_quality, op10_nearest)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -108,7 +112,8 @@ WITH t AS (
   SELECT doc_id, coalesce(concat('d', coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) % 3, 0)), chr(1)) AS domain,
     coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source,
     CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ 	
-]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM documents
+
+]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM documents
 ),
 docs AS (SELECT * FROM t WHERE n_tokens > 0),
 leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST(sum(n_tokens) AS DOUBLE) * 4 AS room FROM docs GROUP BY ALL),
