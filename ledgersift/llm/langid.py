@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import SPACED, arrow_batches, hash_runs, slices, word_spans
 
@@ -275,20 +276,26 @@ def _has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, model: tuple[list[str], dict], *keep: str) -> DataFrame:
     """docs (doc_id, text, and the columns ``keep``) -> doc_id, keep..., lang_pred, score."""
+    return predict_with(docs, model, [*keep, "text"]).drop("text")
+
+
+def predict_with(docs: DataFrame, model: tuple[list[str], dict], keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs (doc_id, and the columns ``keep``, among them text) -> and two columns, called ``names``."""
     spark = docs.sparkSession
     arrow_batches(spark)
     languages, m = model
     held = spark.sparkContext.broadcast(m)
-    names = np.array([*languages, "und"])
+    labels = np.array([*languages, "und"])
     model_id = str(hash(tuple(float(v.sum()) for v in m.values())))
+    columns = ["doc_id", *keep]
 
     def run(batches):
         m = held.value
         for part, data, offs in slices(batches, "text"):
             n = part.num_rows
-            best, score = np.full(n, len(names) - 1), np.zeros(n)
+            best, score = np.full(n, len(labels) - 1), np.zeros(n)
             begin, length, row = segments(data, offs)
-            if len(begin) and len(names) > 1:
+            if len(begin) and len(labels) > 1:
                 hashes, first, back = np.unique(hash_runs(gather(data, begin, length), length), return_index=True, return_inverse=True)
                 sums = _known(model_id, m, data, begin[first], length[first], hashes)[back]
                 pooled = np.stack([np.bincount(row, sums[:, k], n) for k in range(sums.shape[1])], axis=1)
@@ -296,10 +303,8 @@ def predict(docs: DataFrame, model: tuple[list[str], dict], *keep: str) -> DataF
                 found = _has_letter(data, offs) & (pooled.sum(1) > 0)
                 best[found] = pooled.argmax(1)[found]
                 score[found] = np.clip(pooled.max(1)[found], 0, 1)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(c) for c in ("doc_id", *keep)] + [pa.array(names[best]), pa.array(score)], ["doc_id", *keep, "lang_pred", "score"]
-            )
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(labels[best]), pa.array(score)], [*columns, *names])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep))
-    return docs.select("doc_id", *keep, "text").mapInArrow(run, f"{schema}, lang_pred string, score double")
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns])
+    schema = StructType([*rows.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return rows.mapInArrow(run, schema)

@@ -193,3 +193,13 @@ def near_duplicates(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     lost = docs.where(F.col("doc_id").isNull())
     lost = sketch(lost, p).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(lost)
+
+
+def dedup(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
+    """The documents, with all their columns, one of each component: that of the smallest doc_id.
+
+    Rows that share an id stay or go together. Rows with a null id stay.
+    """
+    verdict = near_duplicates(docs, p).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    left = docs.join(verdict, F.col("doc_id") == F.col("__id"), "left_anti")
+    return left

@@ -62,8 +62,14 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_hmm_score, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_main_text, op8_mix_sources, op9_quality, op10_nearest)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_language_id, op3_hmm_score, op4_substring_dedup, op5_decontaminate, op6_line_dedup, op7_main_text, op8_mix_sources, op9_quality, op10_nearest, pipeline)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
