@@ -1 +1 @@
-
+"""The analytical methods, as functions from DataFrames to DataFrames."""

@@ -1 +1,148 @@
+"""Where tables come from: files of text, typed tables, databases, and seeded fixtures."""
 
+from __future__ import annotations
+
+import json
+import os
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ..codes import Code, Refusal
+from ..evidence import EvidenceStore
+from ..identity import ROW_NO
+from ..names import check_name
+from ..version import fingerprint, layout
+
+KEYS_FILE = "tables.json"
+
+
+class Case:
+    """One folder for each case: ``source`` (never written after ingest) and ``_forensic``."""
+
+    def __init__(self, spark: SparkSession, root: str | None) -> None:
+        root = root or os.environ.get("FORENSIC_CASE_ROOT")
+        if not root:
+            raise Refusal(Code.BAD_CONFIGURATION, "no case is named; none is guessed")
+        self.spark, self.root = spark, root.rstrip("/")
+        self.evidence = EvidenceStore(spark, f"{self.root}/_forensic")
+
+    def source(self, table: str, schema: str = "source") -> str:
+        return f"{self.root}/{check_name(schema)}/{check_name(table)}"
+
+    def table(self, table: str, schema: str = "source") -> DataFrame:
+        """A table of the case, read only."""
+        path = self.source(table, schema)
+        for p in (path, f"{path}.parquet"):
+            if _exists(self.spark, p):
+                return self.spark.read.parquet(p)
+        raise Refusal(Code.NO_SUCH_TABLE, f"table {schema}.{table} does not exist")
+
+    def declared_key(self, table: str, schema: str = "source") -> list[str] | None:
+        """The key declared beside the tables, as Parquet has none."""
+        path = f"{self.root}/{KEYS_FILE}"
+        if not _exists(self.spark, path):
+            return None
+        text = "\n".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect())
+        return json.loads(text).get(f"{schema}.{table}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def create_case(spark: SparkSession, root: str, keys: dict[str, list[str]] | None = None) -> Case:
+    """Folders and empty evidence tables; ``keys``: declared keys, by schema.table."""
+    case = Case(spark, root)
+    case.evidence.create()
+    if keys:
+        _write_text(spark, f"{case.root}/{KEYS_FILE}", json.dumps(keys))
+    return case
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def verify_store(case: Case) -> dict[str, bool]:
+    """What is promised of the evidence store: its tables are there, and it only appends."""
+    tables = all(_exists(case.spark, case.evidence.path(t)) for t in ("datasets", "test_runs", "findings", "evidence_links", "audit_log"))
+    verbs = {"update", "delete", "overwrite", "drop", "truncate"}
+    return {"tables": tables, "append_only": not any(v in name for name in dir(case.evidence) for v in verbs)}
+
+
+def with_row_numbers(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """A number for each row, in the order of the columns, without one task that sees all rows.
+
+    Rows are numbered within each range of the order, and ranges by the rows before them.
+    """
+    parts = df.repartitionByRange(*[F.col(f"`{c}`") for c in order]).sortWithinPartitions(*[F.col(f"`{c}`") for c in order])
+    marked = parts.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    sizes = marked.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("__before", before)  # a row for each partition
+    out = marked.join(F.broadcast(sizes), "__part")
+    return out.withColumn(ROW_NO, (F.col("__before") + F.col("__at") - F.col("__first") + 1).cast("long")).drop("__part", "__at", "__n", "__first", "__before")
+
+
+def read_text_table(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """A file with a header: every column is text, blank cells are null, nothing is guessed."""
+    head = spark.read.text(path).limit(1).collect()
+    if not head:
+        raise Refusal(Code.NO_SUCH_TABLE, "the file is empty")
+    import csv
+
+    names = next(csv.reader([head[0][0].lstrip("﻿")], delimiter=delimiter))
+    for n in names:
+        check_name(n)
+    schema = StructType([StructField(n, StringType()) for n in names])
+    options = {"header": True, "sep": delimiter, "quote": '"', "escape": '"', "multiLine": True, "nullValue": "", "emptyValue": "", "mode": "FAILFAST", "enforceSchema": True}
+    return spark.read.options(**options).schema(schema).csv(path)
+
+
+def ingest(case: Case, path: str, table: str, delimiter: str = ",") -> dict:
+    """Text file -> source table with ``_row_no``; returns the manifest, which is written beside it too."""
+    df = read_text_table(case.spark, path, delimiter)
+    blank = [F.when(F.col(f"`{c}`") == "", None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns]
+    # one pass over a file whose lines may go on: Spark reads it in one task, in order
+    numbered = df.select(*blank).withColumn(ROW_NO, F.monotonically_increasing_id() + 1).coalesce(1) if df.rdd.getNumPartitions() == 1 else with_row_numbers(df.select(*blank), df.columns)
+    numbered.write.mode("errorifexists").parquet(case.source(table))
+    stored = case.table(table)
+    manifest = {"table": table, "rows": stored.count(), "columns": df.columns, "layout": layout(stored), "fingerprint": fingerprint(stored)}
+    _write_text(case.spark, f"{case.root}/manifest/{table}.json", json.dumps(manifest, ensure_ascii=False))
+    return manifest
+
+
+def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A workbook, all cells as text. Needs openpyxl, which is optional."""
+    try:
+        import openpyxl
+    except ImportError:
+        raise Refusal(Code.NOT_IMPLEMENTED, "workbooks need openpyxl; save the sheet as CSV") from None
+    book = openpyxl.load_workbook(path, read_only=True, data_only=True)
+    rows = book[sheet or book.sheetnames[0]].iter_rows(values_only=True)
+    names = [check_name(str(n)) for n in next(rows)]
+    schema = StructType([StructField(n, StringType()) for n in names])
+    return spark.createDataFrame([tuple(None if v is None or v == "" else str(v) for v in r) for r in rows], schema)
+
+
+def read_jdbc(spark: SparkSession, url: str, schema: str, table: str, partition_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 32, **options: str) -> DataFrame:
+    """A typed table of a database, read in parallel over ranges of a numeric column."""
+    quoted = ".".join('"' + check_name(n).replace('"', '""') + '"' for n in (schema, table))
+    reader = spark.read.format("jdbc").options(url=url, dbtable=quoted, fetchsize="10000", **options)
+    if partition_column and bounds:
+        reader = reader.options(partitionColumn=check_name(partition_column), lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions))
+    return reader.load()
+
+
+def synthetic_pair(spark: SparkSession, rows: int = 20_000, seed: int = 7) -> DataFrame:
+    """row_id, conforming (follows Benford's law), fixed_band (does not). Made in parallel, the same each time."""
+    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    v = (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return spark.range(rows).select(F.col("id").alias("row_id"), F.pow(F.lit(10.0), u * 5).cast("decimal(18,4)").alias("conforming"), (5000 + v * 4999).cast("decimal(18,4)").alias("fixed_band"))
