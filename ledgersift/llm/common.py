@@ -200,8 +200,7 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame, rounds:
         # large star: neighbours that are larger than a node go to its smallest neighbour
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: smaller neighbours and the node itself go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
@@ -224,7 +223,7 @@ def shared_buckets(scratch: Scratch, members: DataFrame) -> DataFrame:
     return scratch.put(members.join(shared, "bucket").select("id", "n", "bucket").distinct(), "members")
 
 
-def linked_groups(spark: SparkSession, scratch: Scratch, members: DataFrame, verify, percent: int) -> DataFrame | None:
+def linked_groups(spark: SparkSession, scratch: Scratch, members: DataFrame, verify, percent: int, rest=None) -> DataFrame | None:
     """Components of the links among members of one bucket; None if there is no link.
 
     members: (id, n, bucket), n being the size of the id's set. ``verify`` takes pairs
@@ -234,18 +233,17 @@ def linked_groups(spark: SparkSession, scratch: Scratch, members: DataFrame, ver
     open as long as its members are in more than one component. So all pairs that share
     a bucket are decided: they are in one component, or were compared. What is grouped is
     summed up before the shuffle, and pairs number members times pivots at most.
+
+    With ``rest``, one round of pivots joins what is a group of like members; all pairs
+    that are open after it, (bucket, id, n, root), are given to ``rest``, which returns
+    those that have to be verified.
     """
     links, tested, roots, salts = None, None, None, 1
+    at = members.withColumn("root", F.col("id"))
     while True:
-        at = members.withColumn("root", F.col("id")) if roots is None else members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        at = at.select("bucket", "id", "n", "root")
-        undecided = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        at = scratch.put(at.join(undecided, "bucket", "left_semi"), "open")
-        if at.isEmpty():
-            return roots
-        pivots = at.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).groupBy("bucket", "salt").agg(F.min("id").alias("pivot"))
-        pivots = pivots.join(at.select("bucket", F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("root").alias("its")), ["bucket", "pivot"])
-        pivots = scratch.put(pivots.select("bucket", "pivot", "m", "its"), "pivots")
+        least = F.min(F.struct("id", "n", "root")).alias("p")
+        pivots = at.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).groupBy("bucket", "salt").agg(least)
+        pivots = scratch.put(pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"), F.col("p.root").alias("its")), "pivots")
         far = (F.col("root") != F.col("its")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
         pairs = at.join(pivots, "bucket").where(far).select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
         if tested is not None:
@@ -257,6 +255,14 @@ def linked_groups(spark: SparkSession, scratch: Scratch, members: DataFrame, ver
         if not new.isEmpty():
             roots = scratch.put(components(spark, scratch, links), "roots")
         left = at.select("bucket", "id", "n").join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
-        members = scratch.put(left, "members")
+        left = left.withColumn("root", F.col("id")) if roots is None else left.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        undecided = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        at = scratch.put(left.join(undecided, "bucket", "left_semi").select("bucket", "id", "n", "root"), "open")
+        if at.isEmpty():
+            return roots
+        if rest is not None:
+            pairs = rest(at).join(tested, ["a", "b"], "left_anti")
+            new = verify(scratch.put(pairs, "pairs"))
+            return roots if new.isEmpty() else scratch.put(components(spark, scratch, links.union(new)), "roots")
         salts = min(salts * 8, 512)
         scratch.sweep()
