@@ -42,8 +42,9 @@ SHALLOW = 24
 #: Windows that are looked at together.
 PART = 1 << 19
 SLICE = 1 << 20
-#: Bytes of text for each bucket.
-BUCKET_BYTES = 6 << 20
+#: Bytes of text for each bucket of anchors, and of contexts.
+ANCHOR_BYTES = 48 << 20
+CONTEXT_BYTES = 6 << 20
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -323,7 +324,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     arrow_batches(spark, 500)
     live = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "rk", "text")
     total = live.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = int(total // BUCKET_BYTES + 1)
+    buckets, spread = int(total // ANCHOR_BYTES + 1), int(total // CONTEXT_BYTES + 1)
 
     def deal(batches):
         for part, data, offs in slices(batches, "text", SLICE):
@@ -377,7 +378,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     near = live.join(asked, "rk").select("rk", "doc_id", "keys", "text")
 
     def contexts(batches):
-        """Contexts of shared anchors, and (bucket -1) the spans of copies within the part."""
+        """Contexts of shared anchors, and (negative buckets) the spans of copies within the part."""
         for part, data, offs in slices(batches, "text", SLICE):
             row, first, n, place, h = anchors(data, offs, length, gram)
             rk, doc = (np.asarray(part.column(c)) for c in ("rk", "doc_id"))
@@ -395,14 +396,14 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             least = np.full(same.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, same, doc[row])
             later = doc[row] > least[same]
-            spans = [{"bucket": -1, "rows": np.array([x["rk"]]).tobytes(), "first": x["begins"], "n": x["ends"]} for x in _span_rows(rk[row[later]], (first - offs[row])[later], (first + n + length - 1 - offs[row])[later])]
+            spans = [{"bucket": -1 - abs(x["rk"]) % spread, "rows": np.array([x["rk"]]).tobytes(), "first": x["begins"], "n": x["ends"]} for x in _span_rows(rk[row[later]], (first - offs[row])[later], (first + n + length - 1 - offs[row])[later])]
             if spans:
                 yield _batch(spans, _CONTEXT)
             row, first, n, place, h = (x[~later] for x in (row, first, n, place, h))
-            where = bucket_of(h, buckets)
+            where = bucket_of(h, spread)
             order = np.argsort(where, kind="stable")
             row, first, n, place, h, where = (x[order] for x in (row, first, n, place, h, where))
-            cut = np.searchsorted(where, np.arange(buckets + 1))
+            cut = np.searchsorted(where, np.arange(spread + 1))
             out = []
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 s = slice(cut[k], cut[k + 1])
@@ -424,6 +425,8 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                 yield _batch(out[at : at + 64], _CONTEXT)
 
     def repeats(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bucket"].iloc[0] < 0:
+            return pd.DataFrame({"rk": np.frombuffer(b"".join(pdf["rows"]), np.int64), "begins": pdf["first"], "ends": pdf["n"]})
         rk, doc, keys, row = unpack(pdf)
         first = np.frombuffer(b"".join(pdf["first"]), "<i8")
         n, off = (np.frombuffer(b"".join(pdf[c]), "u1").astype(np.int64) for c in ("n", "off"))
@@ -434,16 +437,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
         rows = list(_span_rows(rk[row[which]], first[which] + a, first[which] + b))
         return pd.DataFrame(rows, columns=["rk", "begins", "ends"])
 
-    dealt = near.mapInArrow(contexts, _CONTEXT)
-    spread = scratch.put(dealt, "contexts")
-    scratch.sweep()
-    far = spread.where("bucket >= 0").groupBy("bucket").applyInPandas(repeats, _SPANS)
-    return spread.where("bucket < 0").select("rows", "first", "n").mapInArrow(_unpacked, _SPANS).unionByName(far)
-
-
-def _unpacked(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(x, np.int64)[0] for x in batch.column("rows").to_pylist()], pa.int64()), batch.column("first"), batch.column("n")], ["rk", "begins", "ends"])
+    return near.mapInArrow(contexts, _CONTEXT).groupBy("bucket").applyInPandas(repeats, _SPANS)
 
 
 def _with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, Scratch]:
