@@ -41,18 +41,27 @@ class Shape:
     seed: int = 23
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, where it stands in a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shingles(line: Column, chars: int) -> Column:
     """Distinct hashes of all runs of ``chars`` characters."""
-    wide = F.encode(line, "UTF-16BE")  # two bytes a character: a shingle is found without counting from the start
     n = F.length(line)
-    each = F.transform(F.sequence(F.lit(0), n - chars), lambda i: F.xxhash64(F.substring(wide, 2 * i + 1, F.lit(2 * chars))))
-    return F.array_distinct(F.when(n > chars, each).otherwise(F.array(F.xxhash64(wide))))
+
+    def each(wide: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), n - chars), lambda i: F.xxhash64(F.substring(wide, 2 * i + 1, F.lit(2 * chars))))
+        return F.array_distinct(F.when(n > chars, many).otherwise(F.array(F.xxhash64(wide))))
+
+    # two bytes a character: a shingle is found without counting from the start
+    return once(F.encode(line, "UTF-16BE"), each)
 
 
 def signature(elements: Column, p: Shape) -> Column:
     """Band hashes."""
     draws = np.random.default_rng(p.seed).integers(-(2**63), 2**63 - 1, (p.bands, p.rows))
-    low = F.slice(F.array_sort(elements), 1, p.bottom)
+    low = F.slice(F.sort_array(elements), 1, p.bottom)
 
     def least(x: Column, salt: int) -> Column:
         return F.array_min(F.transform(x, lambda h: F.xxhash64(h, F.lit(salt))))
@@ -60,7 +69,7 @@ def signature(elements: Column, p: Shape) -> Column:
     def bands(x: Column) -> Column:
         return F.array(*[F.xxhash64(F.lit(b), *[least(x, int(s)) for s in row]) for b, row in enumerate(draws)])
 
-    return F.element_at(F.transform(F.array(low), bands), 1)  # the sorted array is made once
+    return once(low, bands)
 
 
 def stripped(line: Column) -> Column:
@@ -83,17 +92,17 @@ def removals(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     marks = scratch.put(marks, "marks")
     members = shared_buckets(scratch, marks.select("id", "n", F.explode("bands").alias("bucket")))
 
+    # the lines that are in a shared bucket, once; by id on both sides at any size
+    held = every.select("id", "line").join(members.select("id").distinct().hint("merge"), "id", "left_semi")
+    held = scratch.put(held.groupBy("id").agg(F.min("line").alias("line")), "texts")
+    scratch.sweep()
+
     def similar(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        held = every.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-        held = scratch.put(held, "texts")
         both = pairs.join(held.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         both = both.select("a", "b", shingles(F.col("x"), p.chars).alias("x"), shingles(F.col("y"), p.chars).alias("y"))
         both = both.select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("common"))
         links = both.where(F.col("common") * 100 >= (F.col("sum") - F.col("common")) * p.percent).select("a", "b")
-        out = scratch.put(links, "links")
-        scratch.drop(held)
-        return out
+        return scratch.put(links, "links")
 
     roots = linked_groups(spark, scratch, members, similar, p.percent)
     first = marks.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
