@@ -1 +1 @@
-
+"""Plans: the catalog of named queries."""

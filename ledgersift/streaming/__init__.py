@@ -1 +1 @@
-
+"""Streams: none. All tests run over whole tables, and say so by their dataset version."""
