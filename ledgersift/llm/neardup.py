@@ -183,8 +183,8 @@ def _alike(at: DataFrame, sigs: DataFrame, p: Shape) -> DataFrame:
     keys = ["bucket", "lo", "hi"]
     least = p.percent / 100 - p.margin
 
-    def near(rows) -> tuple[np.ndarray, np.ndarray]:
-        i, n, root, sig, first = rows
+    def near(bucket: int, rows) -> tuple[np.ndarray, np.ndarray]:
+        i, n, root, sig, bands, first = rows
         out = []
         left = np.flatnonzero(first)
         right = np.flatnonzero(~first) if not first.all() else left
@@ -195,7 +195,10 @@ def _alike(at: DataFrame, sigs: DataFrame, p: Shape) -> DataFrame:
             small, large = np.minimum(n[a][:, None], n[right][None, :]), np.maximum(n[a][:, None], n[right][None, :])
             same &= small * 100 >= large * p.percent
             x, y = np.nonzero(same)
-            out.append((i[a[x]], i[right[y]]))
+            x, y = a[x], right[y]
+            # a pair is formed in the first bucket that it shares; were one its pivot there, it has been compared
+            mine = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == bucket
+            out.append((i[x[mine]], i[y[mine]]))
         x, y = (np.concatenate(z) for z in zip(*out))
         both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
         return both[:, 0], both[:, 1]
@@ -206,18 +209,19 @@ def _alike(at: DataFrame, sigs: DataFrame, p: Shape) -> DataFrame:
             if batch is not None:
                 key = np.stack([np.asarray(batch.column(c)) for c in keys], axis=1)
                 sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                new = (key, *(np.asarray(batch.column(c)) for c in ("id", "n", "root")), sig, np.asarray(batch.column("part")) == key[:, 1])
+                bands = np.asarray(batch.column("bands").flatten()).reshape(batch.num_rows, -1)
+                new = (key, *(np.asarray(batch.column(c)) for c in ("id", "n", "root")), sig, bands, np.asarray(batch.column("part")) == key[:, 1])
                 held = new if held is None else tuple(np.concatenate(z) for z in zip(held, new))
             if held is None or not len(held[0]):
                 continue
             edge = np.flatnonzero((held[0][1:] != held[0][:-1]).any(axis=1)) + 1
             cut = [0, *edge.tolist()] + ([len(held[0])] if batch is None else [])
-            pairs = [near(tuple(z[a:b] for z in held[1:])) for a, b in zip(cut, cut[1:]) if b - a > 1]
+            pairs = [near(held[0][a, 0], tuple(z[a:b] for z in held[1:])) for a, b in zip(cut, cut[1:]) if b - a > 1]
             held = tuple(z[cut[-1] :] for z in held)
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*pairs)], ["a", "b"])
 
-    dealt = rows.select(*keys, "id", "n", "root", "part", "sig").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    dealt = rows.select(*keys, "id", "n", "root", "part", "sig", "bands").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -243,7 +247,7 @@ def link(docs: DataFrame, p: Shape = Shape()) -> tuple[DataFrame, DataFrame, Dat
     arrow_batches(spark, 200)
     sets = scratch.put(_sets(docs, members.select("id").distinct(), p), "sets")
     scratch.sweep()
-    roots = linked_groups(spark, scratch, members, lambda pairs: _verified(scratch, sets, pairs, p), p.percent, lambda at: _alike(at, classes.select("id", "sig"), p))
+    roots = linked_groups(spark, scratch, members, lambda pairs: _verified(scratch, sets, pairs, p), p.percent, lambda at: _alike(at, classes.select("id", "sig", "bands"), p))
     return marks, classes, roots, scratch
 
 
