@@ -41,7 +41,7 @@ GRAM = 20
 SHALLOW = 24
 #: Windows that are looked at together.
 PART = 1 << 19
-SLICE = 1 << 20
+SLICE = 2 << 20
 #: Bytes of text for each bucket of anchors, and of contexts.
 ANCHOR_BYTES = 48 << 20
 CONTEXT_BYTES = 6 << 20
@@ -286,7 +286,7 @@ def runs(flags: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.
 
 
 _PIECE = "bucket long, rows binary, docs binary, keys binary, row binary"
-_CONTEXT = "bucket long, rows binary, docs binary, keys binary, row binary, first binary, n binary, off binary, bytes binary"
+_CONTEXT = "bucket long, rows binary, docs binary, row binary, first binary, n binary, off binary, bytes binary"
 _SPANS = "rk long, begins binary, ends binary"
 
 
@@ -350,14 +350,14 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     def unpack(pdf: pd.DataFrame):
         sizes = pdf["rows"].str.len().to_numpy() // 8
         rk, doc = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("rows", "docs"))
-        keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
         row = np.frombuffer(b"".join(pdf["row"]), "<i4").astype(np.int64)
         row += np.repeat(np.cumsum(sizes) - sizes, pdf["row"].str.len().to_numpy() // 4)
-        return rk, doc, keys, row
+        return rk, doc, row
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         """The anchors that more than one document has, for each row."""
-        rk, doc, keys, row = unpack(pdf)
+        rk, doc, row = unpack(pdf)
+        keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
         order = np.argsort(keys, kind="stable")
         keys, row = keys[order], row[order]
         new = np.ones(len(keys), bool)
@@ -413,12 +413,11 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                         "bucket": k,
                         "rows": rk[used].tobytes(),
                         "docs": doc[used].tobytes(),
-                        "keys": h[s].tobytes(),
                         "row": back.astype("<i4").tobytes(),
-                        "first": (first[s] - offs[row[s]]).astype("<i8").tobytes(),
+                        "first": (first[s] - offs[row[s]]).astype("<i4").tobytes(),
                         "n": n[s].astype("u1").tobytes(),
                         "off": (place[s] - first[s]).astype("u1").tobytes(),
-                        "bytes": data[ranges(first[s], n[s] + length - 1)].tobytes(),
+                        "bytes": pa.compress(data[ranges(first[s], n[s] + length - 1)].tobytes(), codec="zstd", asbytes=True),
                     }
                 )
             for at in range(0, len(out), 64):
@@ -427,12 +426,15 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     def repeats(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] < 0:
             return pd.DataFrame({"rk": np.frombuffer(b"".join(pdf["rows"]), np.int64), "begins": pdf["first"], "ends": pdf["n"]})
-        rk, doc, keys, row = unpack(pdf)
-        first = np.frombuffer(b"".join(pdf["first"]), "<i8")
+        rk, doc, row = unpack(pdf)
+        first = np.frombuffer(b"".join(pdf["first"]), "<i4").astype(np.int64)
         n, off = (np.frombuffer(b"".join(pdf[c]), "u1").astype(np.int64) for c in ("n", "off"))
         size = n + length - 1
-        text = b"".join(pdf["bytes"]) + bytes(SHALLOW)
-        flags = repeated_windows(text, np.cumsum(size) - size, n, off, keys, doc[row], length)
+        packed = zip(pdf["bytes"], pdf["n"])
+        text = b"".join(pa.decompress(b, sum(k) + len(k) * (length - 1), codec="zstd", asbytes=True) for b, k in packed) + bytes(SHALLOW)
+        start = np.cumsum(size) - size
+        keys = gram_hashes(np.frombuffer(text, np.uint8), gram)[start + off]
+        flags = repeated_windows(text, start, n, off, keys, doc[row], length)
         which, a, b = runs(flags, n, length)
         rows = list(_span_rows(rk[row[which]], first[which] + a, first[which] + b))
         return pd.DataFrame(rows, columns=["rk", "begins", "ends"])
