@@ -50,14 +50,24 @@ def once(value: Column, use) -> Column:
 
 def shingles(line: Column, chars: int) -> Column:
     """Hashes of all runs of ``chars`` characters; a shorter line is its own run."""
-    n = F.length(line)
 
-    def each(wide: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(0), n - chars), lambda i: F.xxhash64(F.substring(wide, 2 * i + 1, F.lit(2 * chars))))
-        return F.when(n > chars, many).otherwise(F.array(F.xxhash64(wide)))
+    def runs(count: Column, run) -> Column:
+        return F.transform(F.sequence(F.lit(0), count - chars), lambda i: F.xxhash64(run(i)))
+
+    def narrow(wide: Column) -> Column:
+        n = F.length(line)
+        many = runs(n, lambda i: F.substring(wide, 2 * i + 1, F.lit(2 * chars)))
+        few = F.array(F.xxhash64(wide))
+        return F.when(F.octet_length(wide) != 2 * n, once(F.encode(line, "UTF-32"), broad)).when(n > chars, many).otherwise(few)
+
+    def broad(wide: Column) -> Column:
+        """Where some characters take four bytes in UTF-16: cut by code points, hashed as the others are."""
+        n = (F.octet_length(wide) / 4).cast("int")
+        many = runs(n, lambda i: F.encode(F.decode(F.substring(wide, 4 * i + 1, F.lit(4 * chars)), "UTF-32"), "UTF-16BE"))
+        return F.when(n > chars, many).otherwise(F.array(F.xxhash64(F.encode(line, "UTF-16BE"))))
 
     # two bytes a character: a shingle is found without counting from the start
-    return once(F.encode(line, "UTF-16BE"), each)
+    return once(F.encode(line, "UTF-16BE"), narrow)
 
 
 def signature(hashes: Column, p: Shape) -> Column:

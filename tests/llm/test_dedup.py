@@ -131,6 +131,18 @@ def test_line_dedup(spark):
     assert linededup.report(docs.where("false")).count() == 0
 
 
+def test_lines_are_compared_to_their_last_character(spark):
+    """Characters outside the BMP take four bytes in UTF-16; lines that differ at the end are kept."""
+    wide = [chr(0x1F600 + k) for k in range(60)]
+    head = "".join(wide[:20])
+    texts = [head + "".join(wide[20:40]), head + "".join(wide[40:60]), "plain words then " + head, "plain words then " + "".join(wide[40:60]), head[:3]]
+    docs = frame(spark, list(enumerate(texts)))
+    assert {r.doc_id: r.text for r in linededup.dedup(docs).collect()} == dict(enumerate(texts))
+    sets = docs.select("text", linededup.shingles(docs.text, 8).alias("x"), linededup.shingles(docs.text.substr(2, 99), 8).alias("y")).collect()
+    for r in sets:
+        assert len(set(r.x)) == max(1, len(r.text) - 7) and (len(r.text) < 9 or r.x[1:] == r.y)
+
+
 def brute_windows(texts, length):
     first, out = {}, {}
     for i, t in sorted(texts, key=lambda r: r[0]):
