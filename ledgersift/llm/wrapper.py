@@ -1,19 +1,21 @@
 """Main text of web pages by wrapper induction.
 
-For each host, a few of its pages (those of the smallest seeded hash of the id) become
-trees of block elements. Simple tree matching aligns them: nodes whose text is the same on
-all pages are template, nodes whose text varies are slots. The wrapper of a host is the
-path to the part of the page that holds most of the varying prose, and the constant texts
-inside that part. It is applied to every page of the host: blocks below the path, without
-template texts and without the regions that are never article (menus, page headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), which are
-known by their elements and by class, id and role names. Pages that the wrapper does not
-fit, and hosts of which nothing can be aligned, use ``article``, ``main``, or else the
-densest part of the page.
-
-A task keeps at most ``PER_TASK`` trees a host, merged in two grouped steps, so a host that
-has a third of all pages is as cheap as any other. Pages are read twice and not shuffled
-unless the wrappers are too many for Spark's own limit on broadcasts.
+Every page becomes a tree of block elements. All trees of a host are aligned from the top
+down by the labels of their nodes (element, class, id and role names), as in one tree that
+holds them all: what stands at one path is one node. Of each node the pages that have it
+are counted, and of each block (path and text) the pages that show it. A block that at
+least ``SHARE`` of the pages show that have the node around it, and ``LEAST`` pages, is
+template. The node around it tells layouts of a host apart: a second layout does not dilute
+the first. The main text of a page is the densest part of its blocks that are neither template nor in the
+regions that are never article (menus, page headers, footers, sidebars, notices, adverts,
+forms, scripts, styles, reader comments), which are known by their elements and by class,
+id and role names.
+
+All pages of a host count, however many or large they are; pages with the same blocks count
+as one. A text on fewer than ``LEAST`` different pages is never template. Where a page has
+nothing but template, that is used. Counts are summed by block, in the map tasks
+first. Pages are read twice and not shuffled unless the wrappers are too many for Spark's
+own limit on broadcasts. ``match`` aligns two trees exactly; the query doesn't need it.
 
 Null or empty html gives an empty text. A null url is a host of its own. Repeated rows are
 extracted each; extra columns are ignored. Unclosed and cut off markup is accepted.
@@ -26,19 +28,16 @@ import html
 import json
 import re
 
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_batches
 
-PER_TASK = 4
-PER_HOST = 8
-#: Longer runs of like siblings are cut in trees that are aligned (never in extraction).
-RUN = 10
-NODES = 1500
+#: A block is template if it is on so many different pages of a host at least, and on
+#: such a share of those that have the node that it stands in.
+LEAST = 3
+SHARE = 0.6
 DEPTH = 150
 
 TOKEN = re.compile(
@@ -60,6 +59,7 @@ NAMES = set(
     "ad ads adbox advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related recommended respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+DIGITS = re.compile(r"[0-9]+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -197,8 +197,8 @@ def blocks(top: Node, in_article: bool = False):
     return out
 
 
-def _hash(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def _body(root: Node) -> Node:
@@ -206,44 +206,6 @@ def _body(root: Node) -> Node:
     return max(bodies, key=lambda b: len(b.items)) if bodies else root
 
 
-def skeleton(root: Node):
-    """Block tree as [label, hash of own text, its length, children]; None if it is too large."""
-    count = 0
-
-    def walk(node):
-        nonlocal count
-        count += 1
-        if count > NODES:
-            return None
-        own, kids = [], []
-
-        def inline(x):
-            for y in x.items:
-                if isinstance(y, str):
-                    own.append(y)
-                elif y.tag in RAW:
-                    continue
-                elif y.block:
-                    kids.append(y)
-                else:
-                    inline(y)
-
-        inline(node)
-        text, below, run = _clean(own), [], 0
-        for k in kids:
-            s = walk(k)
-            if s is None:
-                return None
-            run = run + 1 if below and not s[3] and not below[-1][3] and below[-1][0] == s[0] else 0
-            if run < RUN:
-                below.append(s)
-            else:
-                below[-1][2] += s[2]
-        return [node.label, _hash(text), len(text), below]
-
-    return walk(_body(root))
-
-
 def match(a, b) -> tuple[int, list]:
     """Simple tree matching: the size of the largest top-down, order-keeping match, and its pairs of nodes."""
     if a[0] != b[0]:
@@ -271,97 +233,32 @@ def match(a, b) -> tuple[int, list]:
     return score[len(x)][len(y)] + 1, out
 
 
-def induce(trees: list) -> dict | None:
-    """The wrapper: path of labels from the body to the content, and constant texts inside it."""
-    if not trees:
-        return None
-    sizes = sorted(trees, key=lambda t: json.dumps(t).__len__())
-    pivot = sizes[len(sizes) // 2]
-    seen: dict[int, list] = {}
-    for other in trees:
-        if other is not pivot:
-            for a, b in match(pivot, other)[1]:
-                seen.setdefault(id(a), []).append((b[1], b[2]))
-    pages = len(trees) - 1
-
-    def constant(node) -> bool:
-        got = seen.get(id(node), [])
-        return pages >= 1 and len(got) == pages and all(h == node[1] for h, _ in got)
-
-    def varying(node) -> int:
-        """Prose below the node that isn't the same on all pages, without regions that are never article."""
-        tag, _, names = node[0].partition(".")
-        if Node(tag, names).skip:
-            return 0
-        own = 0 if constant(node) else node[2] + sum(n for _, n in seen.get(id(node), ())) / max(1, pages)
-        return own + sum(map(varying, node[3]))
-
-    path, at, total = [], pivot, varying(pivot)
-    while total:
-        kids = [k for k in at[3] if varying(k) >= 0.8 * total]
-        if not kids or kids[0][0].partition(".")[0] in HEADINGS | {"p", "li", "td"}:
-            break
-        at = kids[0]
-        path.append(at[0])
-        if at[0].partition(".")[0] in ("article", "main") and not any(k[0].partition(".")[0] == "article" for k in at[3]):
-            break
-    same, length, all_length = [], 0, 0
-
-    def collect(node):
-        nonlocal length, all_length
-        all_length += node[2]
-        if node[2] and constant(node):
-            same.append(node[1])
-            length += node[2]
-        for k in node[3]:
-            collect(k)
-
-    collect(at)
-    # pages that are copies of one another say nothing about what is template
-    if pages < 3 or length > 0.3 * all_length:
-        same = []
-    return {"path": path, "same": sorted(set(same))}
-
-
-def _find(node: Node, path: list[str]) -> Node | None:
-    for label in path:
-        node = next((x for x in node.items if isinstance(x, Node) and x.label == label), None)
-        if node is None:
-            return None
-    return node
-
-
-def _all(node: Node, tag: str):
-    for x in node.items:
-        if isinstance(x, Node) and not x.skip:
-            if x.tag == tag:
-                yield x
-            else:
-                yield from _all(x, tag)
+def _keys(name: str, found: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    """Of each block: a hash of its host, path and text, and one of its host and the node that it stands in."""
+    out, nodes = [], {}
+    for path, text in found:
+        # numbers in names are those of a page
+        path = DIGITS.sub("0", path)
+        above = path.rpartition("/")[0]
+        if above not in nodes:
+            nodes[above] = _hash(f"{name}\0{above}")
+        out.append((_hash(f"{name}\0{path}\0{text}"), nodes[above]))
+    return out
 
 
-def extract(page: str, wrapper: dict | None = None) -> str:
-    if not page:
-        return ""
-    body = _body(parse(page))
-    same = set(wrapper["same"]) if wrapper else set()
-    tops = []
-    if wrapper and wrapper["path"] and (top := _find(body, wrapper["path"])) is not None:
-        tops = [top]
-        if top.tag == "article":  # others beside it
-            tops = [x for x in top.up.items if isinstance(x, Node) and x.label == top.label and not x.skip]
-    texts = [t for x in tops for _, t in blocks(x, True) if not same or _hash(t) not in same]
-    for tag in ("article", "main") if not texts else ():
-        if texts := [t for x in _all(body, tag) for _, t in blocks(x, True)]:
-            break
-    if not texts:
-        texts = _densest(body)
-    return "\n".join(texts)
+def _nodes(name: str, found: list[tuple[str, str]]) -> set[int]:
+    """Hashes of host and path of all nodes that hold a block at any depth."""
+    held = set()
+    for path in {DIGITS.sub("0", path) for path, _ in found}:
+        above = path.rpartition("/")[0]
+        while above not in held:
+            held.add(above)
+            above = above.rpartition("/")[0]
+    return {_hash(f"{name}\0{path}") for path in held}
 
 
-def _densest(body: Node) -> list[str]:
+def _densest(found: list[tuple[str, str]]) -> list[str]:
     """Blocks of the smallest part of the page that holds most of the text outside of links."""
-    found = blocks(body)
     if not found:
         return []
     total = sum(len(t) for _, t in found)
@@ -375,40 +272,46 @@ def _densest(body: Node) -> list[str]:
     return [t for p, t in found if p.startswith(best)]
 
 
+def extract(page: str, name: str = "", template: frozenset[int] = frozenset()) -> str:
+    """Of the blocks that aren't template, the densest part; where nothing else is on the page, of all blocks."""
+    if not page:
+        return ""
+    found = blocks(_body(parse(page)))
+    left = [x for x, (key, _) in zip(found, _keys(name, found)) if key not in template] if template else []
+    return "\n".join(_densest(left or found))
+
+
 def host(url_col):
     """The host of a URL, lower-cased; empty if there is none."""
     return F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, wrapper (JSON)."""
+    """host, template: hashes of the blocks that are template there, from every page."""
 
-    def sample(batches):
-        pid = TaskContext.get().partitionId()
-        held: dict[str, list] = {}
+    def count(batches):
         for batch in batches:
-            for name, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html"))):
-                few = held.setdefault(name, [])
-                if page and (len(few) < PER_TASK or key < few[-1][0]):
-                    few.append((key, page))
-                    few.sort()
-                    del few[PER_TASK:]
-        rows = [(name, pid % 64, key, json.dumps(s)) for name, few in held.items() for key, page in few if (s := skeleton(parse(page))) is not None]
-        for at in range(0, len(rows), 256):
-            cols = list(zip(*rows[at : at + 256]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["host", "part", "key", "tree"])
-
-    def fewest(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["key", "tree"]).drop_duplicates("tree").head(PER_HOST)
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        trees = [json.loads(t) for t in fewest(pdf)["tree"]]
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(induce(trees))]})
-
-    schema = "host string, part int, key long, tree string"
-    few = pages.select("host", F.xxhash64("page_id", F.lit(1)).alias("key"), "html").mapInArrow(sample, schema)
-    few = few.groupBy("host", "part").applyInPandas(fewest, schema)
-    return scratch.put(few.groupBy("host").applyInPandas(learn, "host string, wrapper string"), "wrappers")
+            hosts, keys, pages, kinds = [], [], [], []
+            for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+                seen = blocks(_body(parse(page))) if page else []
+                if not seen:
+                    continue
+                found = _keys(name, seen)
+                texts = sorted({k for k, _ in found})
+                # pages that are copies of one another say nothing about what is template: they count as one
+                copy = _hash(json.dumps(texts))
+                for k, n in sorted(set(found)):
+                    hosts.append(name), keys.append(k), pages.append(copy), kinds.append(n)
+                for n in sorted(_nodes(name, seen)):
+                    hosts.append(None), keys.append(n), pages.append(copy), kinds.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(pages, pa.int64()), pa.array(kinds, pa.int64())], ["host", "key", "page", "node"])
+
+    rows = pages.select("host", "html").mapInArrow(count, "host string, key long, page long, node long").distinct()
+    # first by page, so that a text of all pages is added up in the map tasks
+    sums = scratch.put(rows.groupBy("host", "key", "node").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST), "support")
+    held = sums.where("node is null").select(F.col("key").alias("node"), F.col("n").alias("pages"))
+    texts = sums.where("node is not null").join(held, "node").where(F.col("n") >= SHARE * F.col("pages"))
+    return scratch.put(texts.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("template")), "wrappers")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -419,18 +322,18 @@ def main_text(pages: DataFrame) -> DataFrame:
     learnt = wrappers(rows, Scratch(spark))
 
     def run(batches):
-        known: dict[str, dict] = {}
+        known: dict[str, frozenset] = {}
         for batch in batches:
             out = []
-            for page, w in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
-                if w is not None and w not in known:
+            for page, name, template in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), batch.column("template")):
+                if name not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[w] = json.loads(w)
-                out.append(extract(page, known.get(w)))
+                    known[name] = frozenset(template.as_py() or ())
+                out.append(extract(page, name, known[name]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
     kinds = dict(pages.dtypes)
-    return rows.join(learnt, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    return rows.join(learnt, "host", "left").select("page_id", "url", "html", "host", "template").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")

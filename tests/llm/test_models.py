@@ -181,6 +181,24 @@ def test_pages(spark):
     assert [got[i].text for i in (20, 21, 22, 23)] == ["", "", "a<b", "end"]
 
 
+def test_template_is_learnt_from_all_pages(spark):
+    """Second layouts, large pages, pages without the node, small hosts and short articles: boilerplate goes, text stays."""
+    own = lambda k, n=1: [f"own sentence {k} {j} of the page" for j in range(n)]
+    show = lambda kind, texts, more: f"<body><div class={kind}>" + "".join(f"<p>{t}" for t in texts) + f"<p>{more}</div>"
+    long = "boilerplate that is longer than any article of this host " * 9
+    rows, want = [], {}
+    for k in range(40):
+        texts = own(k, 2000 if k < 12 else 1)
+        rows.append((k, "http://a/", show("one" if k % 4 else "two", texts, ("" if k == 7 else long) if k % 4 else "second layout, same line")))
+        want[k] = texts
+    rows += [(100 + k, "http://small/", show("x", own(k), "the line of the host")) for k in range(3)] + [(110, "http://small/", show("x", own(9), "another line"))]
+    want |= {100 + k: own(k) for k in range(3)} | {110: [*own(9), "another line"]}
+    copies = [(200 + k, "http://copies/", show("x", own(k // 5), "same")) for k in range(10)]
+    want |= {200 + k: [*own(k // 5), "same"] for k in range(10)}
+    got = wrapper.main_text(spark.createDataFrame(rows + copies, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text.split("\n") for r in got} == want
+
+
 def test_tree_matching():
     leaf = lambda t: [t, t, 1, []]
     a = ["r", "", 0, [leaf("a"), leaf("b"), leaf("c")]]
