@@ -6,14 +6,14 @@ holds them all: what stands at one path is one node. Of each node the pages that
 are counted, and of each block (path and text) the pages that show it. A block that at
 least ``SHARE`` of the pages show that have the node around it, and ``LEAST`` pages, is
 template. The node around it tells layouts of a host apart: a second layout does not dilute
-the first. The main text of a page is the densest part of its blocks that are neither template nor in the
+the first. The main text of a page is all its blocks that are neither template nor in the
 regions that are never article (menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments), which are known by their elements and by class,
-id and role names.
+id and role names. Nothing is taken by its size or share of a page.
 
 All pages of a host count, however many or large they are; pages with the same blocks count
 as one. A text on fewer than ``LEAST`` different pages is never template. Where a page has
-nothing but template, that is used. Counts are summed by block, in the map tasks
+nothing but template, all its blocks stay. Counts are summed by block, in the map tasks
 first. Pages are read twice and not shuffled unless the wrappers are too many for Spark's
 own limit on broadcasts. ``match`` aligns two trees exactly; the query doesn't need it.
 
@@ -257,28 +257,13 @@ def _nodes(name: str, found: list[tuple[str, str]]) -> set[int]:
     return {_hash(f"{name}\0{path}") for path in held}
 
 
-def _densest(found: list[tuple[str, str]]) -> list[str]:
-    """Blocks of the smallest part of the page that holds most of the text outside of links."""
-    if not found:
-        return []
-    total = sum(len(t) for _, t in found)
-    parents: dict[str, int] = {}
-    for path, text in found:
-        steps = path.split("/")
-        for k in range(1, len(steps)):
-            key = "/".join(steps[:k])
-            parents[key] = parents.get(key, 0) + len(text)
-    best = max((p for p, n in parents.items() if n >= 0.6 * total), key=lambda p: p.count("/"), default="")
-    return [t for p, t in found if p.startswith(best)]
-
-
 def extract(page: str, name: str = "", template: frozenset[int] = frozenset()) -> str:
-    """Of the blocks that aren't template, the densest part; where nothing else is on the page, of all blocks."""
+    """All blocks but template; where nothing else is on the page, all blocks."""
     if not page:
         return ""
     found = blocks(_body(parse(page)))
-    left = [x for x, (key, _) in zip(found, _keys(name, found)) if key not in template] if template else []
-    return "\n".join(_densest(left or found))
+    texts = [t for (_, t), (key, _) in zip(found, _keys(name, found)) if key not in template] if template else []
+    return "\n".join(texts or [t for _, t in found])
 
 
 def host(url_col):

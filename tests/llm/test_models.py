@@ -199,6 +199,14 @@ def test_template_is_learnt_from_all_pages(spark):
     assert {r.page_id: r.text.split("\n") for r in got} == want
 
 
+def test_article_in_sibling_containers(spark):
+    """No part of an article is dropped for being the smaller one."""
+    part = lambda k, n, name: f"<div class={name}>" + "".join(f"<p>{name} {k} {j} says something" for j in range(n)) + "</div>"
+    rows = [(k, f"http://h{k % 2}/", "<body>" + (part(k, 65, "body") + part(k, 35, "more") if k % 2 else part(k, 15, "lead") + part(k, 85, "body"))) for k in range(10)] + [(20, "http://lone/", "<body>" + part(0, 65, "body") + part(0, 35, "more"))]
+    got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: len(r.text.split("\n")) for r in got} == {r[0]: 100 for r in rows}
+
+
 def test_tree_matching():
     leaf = lambda t: [t, t, 1, []]
     a = ["r", "", 0, [leaf("a"), leaf("b"), leaf("c")]]
