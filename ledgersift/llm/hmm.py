@@ -10,8 +10,10 @@ do not grow with the corpus; word counts do, and never leave the executors.
 Steps:
 
 1. Texts become blocks of coded tokens, written once: each block has its own dictionary.
-2. Baum-Welch: a start from one block on the driver, then ``passes`` over every training
-   text; expected counts are summed across partitions by a grouped sum.
+2. Baum-Welch, every pass over every training text: expected counts are summed across
+   partitions by a grouped sum. The start is the class counts of all training texts, each
+   dealt to a state by a hash of its classes. Passes end when the mean log-likelihood of a
+   token grows by less than ``settled`` of itself, or with the last of ``passes``.
 3. Dictionaries are dealt out by word hash, as packed pieces; each bucket adds up the
    counts of its words and replies to every block that asked, block by block.
 4. Each block with its replies is scored.
@@ -42,9 +44,8 @@ END = np.uint64(0xFFFFFFFFFFFFFFFF)
 class Hmm:
     states: int = 6
     classes: int = 4096
-    start_passes: int = 10
-    start_tokens: int = 250_000
-    passes: int = 1
+    passes: int = 20
+    settled: float = 1e-3
     seed: int = 3
 
 
@@ -161,7 +162,22 @@ def expected(m: dict, q: Sequences) -> dict[str, np.ndarray]:
         after = emit[q.kinds[a : a + n]] * beta / scale[a : a + n, None]
         alpha[a : a + n] *= beta  # from here on: the posterior of the states
     start = alpha[: q.active[0]].sum(axis=0, dtype=np.float64) if len(q.active) else np.zeros(states)
-    return {"start": start, "move": moved * m["move"], "emit": np.stack([np.bincount(q.kinds, alpha[:, s], classes) for s in range(states)])}
+    return {
+        "start": start,
+        "move": moved * m["move"],
+        "emit": np.stack([np.bincount(q.kinds, alpha[:, s], classes) for s in range(states)]),
+        "likely": np.array([np.log(scale.astype(np.float64)).sum(), len(scale)]),
+    }
+
+
+def dealt(q: Sequences, p: Hmm) -> dict[str, np.ndarray]:
+    """Class counts of a state's texts: a text is dealt to one by a hash of its classes."""
+    # sums of hashes: the same wherever the text is stored
+    sums = np.zeros(q.n, np.uint64)
+    with np.errstate(over="ignore"):
+        np.add.at(sums, q.text, mix(q.kinds.astype(np.uint64) + np.uint64(p.seed)))
+    owner = (mix(sums) % np.uint64(p.states)).astype(np.int64)[q.text]
+    return {"start": np.zeros(p.states), "move": np.zeros((p.states, p.states)), "emit": np.stack([np.bincount(q.kinds, owner == s, p.classes) for s in range(p.states)]), "likely": np.zeros(2)}
 
 
 def maximise(counts: dict, p: Hmm) -> dict[str, np.ndarray]:
@@ -183,57 +199,53 @@ def _training(row: dict, only_training: bool = True) -> Sequences:
     return Sequences(kinds, sizes)
 
 
-def _begin(row: dict | None, p: Hmm) -> dict[str, np.ndarray]:
-    """Baum-Welch on texts of one block, up to a bounded number of tokens."""
+def _begin(emit: np.ndarray, p: Hmm) -> dict[str, np.ndarray]:
+    """Where Baum-Welch starts. Without any training text that is all there is."""
     rng = np.random.default_rng(p.seed)
-    flat = {"start": np.ones(p.states), "move": np.eye(p.states) * 50 + 1, "emit": rng.gamma(1.0, 1.0, (p.states, p.classes))}
-    if row is None:
-        return maximise(flat, p)
-    sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
-    use = ~np.asarray(row["held"], bool)
-    use &= np.cumsum(np.where(use, sizes, 0)) <= p.start_tokens
-    kinds = np.frombuffer(row["kinds"], np.uint16)[np.frombuffer(row["codes"], np.int32)].astype(np.int64)
-    q = Sequences(kinds[np.repeat(use, sizes)], sizes[use])
-    if not q.n:
-        return maximise(flat, p)
-    # texts start in a state each, at random; states drift towards kinds of text
-    owner = rng.integers(0, p.states, q.n)[q.text]
-    flat["emit"] = np.stack([np.bincount(q.kinds, owner == s, p.classes) for s in range(p.states)]) * (0.5 + rng.random((p.states, p.classes)))
-    m = maximise(flat, p)
-    for _ in range(p.start_passes):
-        m = maximise(expected(m, q), p)
-    return m
+    spread = rng.gamma(1.0, 1.0, emit.shape)
+    # states drift towards kinds of text
+    flat = {"start": np.ones(p.states), "move": np.eye(p.states) * 50 + 1, "emit": emit * (0.5 + rng.random(emit.shape)) if emit.any() else spread}
+    return maximise(flat, p)
+
+
+def _summed(blocks: DataFrame, counts, p: Hmm) -> dict[str, np.ndarray]:
+    """Sums over the training texts of all blocks."""
+    sizes = {"start": p.states, "move": p.states**2, "emit": p.states * p.classes, "likely": 2}
+
+    def run(batches):
+        total = np.zeros(sum(sizes.values()))
+        for batch in batches:
+            for row in batch.to_pylist():
+                q = _training(row)
+                if q.n:
+                    got = counts(q)
+                    total += np.concatenate([got[k].ravel() for k in sizes])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    rows = blocks.select("held", "sizes", "codes", "kinds").mapInArrow(run, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(sum(sizes.values()))
+    for r in rows:
+        total[r.slot] = r.n
+    cut = np.cumsum([0, *sizes.values()])
+    out = {k: total[a:b] for k, a, b in zip(sizes, cut, cut[1:])}
+    return out | {"move": out["move"].reshape(p.states, -1), "emit": out["emit"].reshape(p.states, -1)}
 
 
 def train(blocks: DataFrame, p: Hmm) -> dict[str, np.ndarray]:
-    """Baum-Welch over every training text: expected counts are summed across partitions."""
+    """Baum-Welch over every training text of all blocks, until the likelihood settles."""
     spark = blocks.sparkSession
-    first = blocks.agg(F.min("block")).first()[0]
-    row = None if first is None else blocks.where(F.col("block") == first).first()
-    m = _begin(row.asDict() if row else None, p)
-    sizes = {"start": p.states, "move": p.states**2, "emit": p.states * p.classes}
     arrow_batches(spark, 1)
-    for _ in range(p.passes):
+    emit = _summed(blocks, lambda q: dealt(q, p), p)["emit"]
+    m, before = _begin(emit, p), None
+    for _ in range(p.passes if emit.any() else 0):
         held = spark.sparkContext.broadcast(m)
-
-        def run(batches, held=held):
-            total = np.zeros(sum(sizes.values()))
-            for batch in batches:
-                for row in batch.to_pylist():
-                    q = _training(row)
-                    if q.n:
-                        got = expected(held.value, q)
-                        total += np.concatenate([got[k].ravel() for k in sizes])
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
-
-        rows = blocks.select("held", "sizes", "codes", "kinds").mapInArrow(run, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-        total = np.zeros(sum(sizes.values()))
-        for r in rows:
-            total[r.slot] = r.n
-        cut = np.cumsum([0, *sizes.values()])
-        counts = {k: total[a:b] for k, a, b in zip(sizes, cut, cut[1:])}
-        m = maximise({"start": counts["start"], "move": counts["move"].reshape(p.states, -1), "emit": counts["emit"].reshape(p.states, -1)}, p)
+        counts = _summed(blocks, lambda q, held=held: expected(held.value, q), p)
+        m = maximise(counts, p)
+        mean = counts["likely"][0] / counts["likely"][1]
+        if before is not None and mean - before < p.settled * abs(before):
+            break
+        before = mean
     arrow_batches(spark)
     return m
 

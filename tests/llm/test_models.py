@@ -119,6 +119,14 @@ def test_hmm_against_counts(spark):
     assert hmm.score(docs.where("false")).count() == 0
 
 
+def test_hmm_learns_from_all_blocks(spark):
+    """A first block of held-out rows only: the states are those of the training texts of all blocks."""
+    rows = [(i, words(40, EN if i % 2 else DE, i), None, None, 1.0, i < 100 or i % 5 == 0) for i in range(400)]
+    got = [r for r in hmm.score(spark.createDataFrame(rows, DOCS)).collect() if r.held_out]
+    # a text's language is a state: a word is one of 8 in its language, and one of 16 in both
+    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > -0.98
+
+
 def test_forward_is_exact():
     """Scaled forward recursion against the sum over all paths; probabilities of all sequences sum to one."""
     import itertools
