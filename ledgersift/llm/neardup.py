@@ -9,9 +9,9 @@
    like texts becomes one component by a comparison each, however large it is.
 4. What is left: members of a bucket that are in different components are held against one
    another by their signatures, in blocks of at most ``BLOCK`` rows and inside numpy; only
-   pairs whose estimate is within ``margin`` of the threshold (four deviations of
-   the estimate for long texts, more for short ones) are
-   formed at all. Every pair that shares a bucket is so decided.
+   pairs whose estimate is within ``margin`` of the threshold (five and a half deviations
+   of the estimate for long texts, more for short ones) are formed at all. A pair at the
+   threshold is lost there with a chance under 1e-6.
 5. Verification: the full sets of both texts are intersected; nothing is estimated.
 6. Union-find over the links (``common.components``), on class ids.
 
@@ -43,7 +43,13 @@ class Shape:
     percent: int = 80
     bands: int = 40
     rows: int = 6
-    margin: float = 0.09
+
+    @property
+    def margin(self) -> float:
+        """Five and a half deviations of the estimate at the threshold, were slots independent."""
+        share = self.percent / 100
+        return 5.5 * (share * (1 - share) / (self.bands * self.rows)) ** 0.5
+
 
 #: Members of a bucket that are held against one another at once.
 BLOCK = 1024

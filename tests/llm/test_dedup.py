@@ -143,6 +143,16 @@ def test_lines_are_compared_to_their_last_character(spark):
         assert len(set(r.x)) == max(1, len(r.text) - 7) and (len(r.text) < 9 or r.x[1:] == r.y)
 
 
+def test_margin_of_signatures():
+    """A pair at the threshold is lost by the estimate of 240 slots with a chance under 1e-6."""
+    from math import ceil, comb
+
+    for percent in (80, 85):
+        p = neardup.Shape(percent=percent)
+        n, s = p.bands * p.rows, percent / 100
+        assert sum(comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(ceil((s - p.margin) * n))) < 1e-6
+
+
 def brute_windows(texts, length):
     first, out = {}, {}
     for i, t in sorted(texts, key=lambda r: r[0]):
