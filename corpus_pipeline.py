@@ -16,7 +16,7 @@ from ledgersift.llm.queries import mixed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language stay; those without letters (``und``) go. ``lang`` is the prediction."""
+    """Only texts without letters (``und``) go; all others stay. ``lang`` is the prediction, always a learnt language."""
     model = langid.fit(docs, crc_mod(F.col("doc_id"), 3) != 1)
     kept = [c for c in docs.columns if c not in ("doc_id", "lang")]
     found = langid.predict_with(docs, model, kept, ("__lang", "__score")).where("__lang <> 'und'")
