@@ -244,12 +244,16 @@ def _search_one(spark, scratch: Scratch, rows: DataFrame, every: int, k: int, p:
         for at in range(0, len(q), 512):
             some = q[at : at + 512]
             near = unit(some) @ ux.T
-            top = min(most + 6, near.shape[1])
-            pick = np.argpartition(-near, top - 1, axis=1)[:, :top]
-            score = np.einsum("id,ijd->ij", some, x[pick]) / (np.linalg.norm(some, axis=1)[:, None] * nx[pick])
-            order = np.lexsort((cid[pick], -score), axis=1)[:, :most]
-            pick, score = np.take_along_axis(pick, order, 1), np.take_along_axis(score, order, 1)
-            out.append(pd.DataFrame({"qid": np.repeat(qid[at : at + 512], pick.shape[1]), "cid": cid[pick].ravel(), "score": score.ravel()}))
+            top = min(most, near.shape[1])
+            least = -np.partition(-near, top - 1, axis=1)[:, top - 1]
+            # all that tie with the last but for rounding are sorted
+            row, pick = np.nonzero(near >= least[:, None] - 1e-9)
+            dots = [np.einsum("id,id->i", some[row[i : i + 8192]], x[pick[i : i + 8192]]) for i in range(0, len(row), 8192)]
+            score = np.concatenate(dots) / (np.linalg.norm(some, axis=1)[row] * nx[pick])
+            order = np.lexsort((cid[pick], -score, row))
+            row, pick, score = row[order], pick[order], score[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < most
+            out.append(pd.DataFrame({"qid": qid[at : at + 512][row[keep]], "cid": cid[pick[keep]], "score": score[keep]}))
         return pd.concat(out)
 
     keys = ["list", "part", "qpart"]

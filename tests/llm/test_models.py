@@ -177,6 +177,16 @@ def test_nearest(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
 
 
+def test_nearest_ties_of_different_vectors(spark):
+    """More different vectors tie than a block's list holds: the smallest ids win."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=8)
+    scale = rng.permutation(40)
+    rows = [(i, (v * 2.0 ** int(scale[i])).tolist()) for i in range(40)] + [(i, rng.normal(size=8).tolist()) for i in range(40, 60)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
+
+
 PAGE = '<html><head><title>t</title></head><body><nav><a href=/>m{0}</a></nav><div class="ad">buy {0}</div><div id=main><div class=post><h1>Title {0}</h1><p>Body &amp; text {0} of some length here, more<br>words<p>second {0} which goes on for a while, as paragraphs of articles do, with {0} in it<div class=share>Share</div><p>{1}</div><div class="comments"><p>nice {0} comment that goes on</div></div><footer>f {0}</footer><scr'
 
 
