@@ -143,6 +143,14 @@ def test_lines_are_compared_to_their_last_character(spark):
         assert len(set(r.x)) == max(1, len(r.text) - 7) and (len(r.text) < 9 or r.x[1:] == r.y)
 
 
+def test_similar_lines_share_a_band(spark):
+    """Of 12 000 pairs of sets at 0.8 none is missed."""
+    # 400 of 500 elements in common
+    pairs = spark.range(12_000).selectExpr(*[f"transform(sequence(0, 449), i -> xxhash64(id, if(i < 400, i, i + {k}))) as {c}" for c, k in (("x", 0), ("y", 1000))])
+    both = pairs.select(*[linededup.signature(pairs[c], linededup.Shape()).alias(c) for c in ("x", "y")])
+    assert both.where("not arrays_overlap(x, y)").count() == 0
+
+
 def test_margin_of_signatures():
     """A pair at the threshold is lost by the estimate of 240 slots with a chance under 1e-6."""
     from math import ceil, comb
