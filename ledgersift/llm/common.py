@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -31,13 +32,16 @@ def crc_mod(col: Column, n: int) -> Column:
 class Scratch:
     """Tables written to the cluster's shared folder, in place of cached blocks.
 
-    The folder is ``spark.checkpoint.dir``. Only where that is unset (tests, local
-    mode) a temporary folder of this machine is used.
+    The folder is ``spark.checkpoint.dir``. Only where that is unset, and all of Spark runs
+    in this process, a temporary folder of this machine is used. What is written stays until
+    Spark ends, as the plans that are returned read it; ``drop`` deletes what none reads.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="scratch-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.root = spark, f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -45,7 +49,7 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write, and read again: cuts the lineage, survives lost executors."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -184,22 +188,24 @@ def text_hash(words) -> np.ndarray:
     return hash_runs(np.frombuffer(b"".join(words), np.uint8), np.array([len(x) for x in words], np.int64)) if words else np.zeros(0, np.uint64)
 
 
-def components(spark: SparkSession, scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Distributed union-find by alternating large-star and small-star steps.
+def components(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """Distributed union-find by alternating large-star and small-star steps, until nothing changes.
 
     edges: (a, b) longs. Returns (id, root): the smallest id that can be reached, for
-    every id that has an edge. No group is ever in one task: each step is a grouped
-    minimum, which Spark sums up before the shuffle, and a join on the node.
+    every id that has an edge. Each step is a grouped minimum, which Spark sums up before
+    the shuffle, and a join on the node; the edges of a hub may be in many tasks there, as
+    Spark can split such a join.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = scratch.put(e, "cc")
-    state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    for _ in range(rounds):
-        if not state[0]:
+    state = None
+    while True:
+        old, state = state, e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if not state[0] or state == old:
             break
         # large star: neighbours that are larger than a node go to its smallest neighbour
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("m"))
         large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: smaller neighbours and the node itself go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -207,62 +213,116 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame, rounds:
         small = small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         new = scratch.put(small, "cc")
         scratch.drop(e)
-        e, old = new, state
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == old:
-            break
+        e = new
     roots = e.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return roots.union(e.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
 
 
-def shared_buckets(scratch: Scratch, members: DataFrame) -> DataFrame:
-    """Of (id, n, bucket), the rows of buckets with more than one id."""
-    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    shared = scratch.put(shared, "shared")
-    scratch.sweep()
-    return scratch.put(members.join(shared, "bucket").select("id", "n", "bucket").distinct(), "members")
+#: Rows of (bucket, smallest id) that are broadcast at most, 16 bytes each; more are shuffled.
+FEW_BUCKETS = 200_000
+
+
+def stars(scratch: Scratch, marks: DataFrame, bands: int, passes: int = 1) -> DataFrame:
+    """(a, p): each id with the smallest id of each bucket that it is in, without pairs of equals.
 
+    marks: (id, bands), ids being distinct and bands an array of as many bucket keys. Any
+    two ids of a bucket have a pair with the same p. There are at most as many pairs as
+    members of buckets, however large a bucket is. ``passes`` parts of the bands are dealt
+    one after another, so that their shuffles don't lie on disk together.
+    """
+    found, cuts = None, [1 + bands * k // passes for k in range(passes + 1)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        rows = marks.select("id", F.explode(F.array_distinct(F.slice("bands", lo, hi - lo))).alias("bucket"))
+        sums = rows.groupBy("bucket").agg(F.min("id").alias("p"), F.max("id").alias("hi"), F.count("*").alias("n")).where("p <> hi")
+        sums = scratch.put(sums, "buckets")
+        scratch.sweep()
+        # most shared buckets have two members, and are a pair already
+        more = sums.where("n > 2").select("bucket", "p")
+        more = F.broadcast(more) if more.count() <= FEW_BUCKETS else more
+        pairs = sums.where("n = 2").select(F.col("hi").alias("a"), "p").union(rows.join(more, "bucket").where("id <> p").select(F.col("id").alias("a"), "p"))
+        part = scratch.put(pairs.distinct(), "stars")
+        scratch.drop(sums)
+        found = part if found is None else found.union(part)
+        scratch.sweep()
+    return found if passes == 1 else scratch.put(found.distinct(), "stars")
 
-def linked_groups(spark: SparkSession, scratch: Scratch, members: DataFrame, verify, percent: int, rest=None) -> DataFrame | None:
-    """Components of the links among members of one bucket; None if there is no link.
 
-    members: (id, n, bucket), n being the size of the id's set. ``verify`` takes pairs
-    (a, b) with a > b and returns those that are linked. In each round a few pivots of
-    every open bucket, the smallest id of each salt, are compared with those members of
-    other components whose size allows a link; then they leave the bucket. A bucket is
-    open as long as its members are in more than one component. So all pairs that share
-    a bucket are decided: they are in one component, or were compared. What is grouped is
-    summed up before the shuffle, and pairs number members times pivots at most.
+#: Members of a family that a task holds against one another at once.
+BLOCK = 1024
 
-    With ``rest``, one round of pivots joins what is a group of like members; all pairs
-    that are open after it, (bucket, id, n, root), are given to ``rest``, which returns
-    those that have to be verified.
+
+def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, percent: int, rounds: int = 2, pivots: int = 4) -> DataFrame | None:
+    """Components (id, root) of the links among members of one family; None if there is no link.
+
+    pairs: (a, p) as of ``stars``: the family of p is p and all its a. data: (id, n, x), n
+    being the size of the set that ``as_set`` makes of x. All pairs of a family are decided
+    on their full sets, or are in one component already:
+
+    1. Each member is compared with p. That joins a group of like members at once.
+    2. In ``rounds``, a family's members outside its largest component are compared with a
+       few of those inside, ``pivots`` a round.
+    3. What still is outside is held against the whole family, in blocks, inside a join
+       that lets only links through. A pair is tested in the first family that it shares.
     """
-    links, tested, roots, salts = None, None, None, 1
-    at = members.withColumn("root", F.col("id"))
-    while True:
-        least = F.min(F.struct("id", "n", "root")).alias("p")
-        pivots = at.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).groupBy("bucket", "salt").agg(least)
-        pivots = scratch.put(pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"), F.col("p.root").alias("its")), "pivots")
-        far = (F.col("root") != F.col("its")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-        pairs = at.join(pivots, "bucket").where(far).select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.put(pairs, "pairs")
-        new = verify(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        links = new if links is None else links.union(new)
-        if not new.isEmpty():
-            roots = scratch.put(components(spark, scratch, links), "roots")
-        left = at.select("bucket", "id", "n").join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
-        left = left.withColumn("root", F.col("id")) if roots is None else left.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        undecided = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        at = scratch.put(left.join(undecided, "bucket", "left_semi").select("bucket", "id", "n", "root"), "open")
-        if at.isEmpty():
-            return roots
-        if rest is not None:
-            pairs = rest(at).join(tested, ["a", "b"], "left_anti")
-            new = verify(scratch.put(pairs, "pairs"))
-            return roots if new.isEmpty() else scratch.put(components(spark, scratch, links.union(new)), "roots")
-        salts = min(salts * 8, 512)
+    spark = data.sparkSession
+    enough = lambda m, n, x, y: (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (F.size(F.array_intersect(x, y)) * (100 + percent) >= (F.col(m) + F.col(n)) * percent)
+
+    def side(k: str) -> DataFrame:
+        return data.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("x").alias(f"x{k}"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        # pivots, on the side of p, may be in many pairs: Spark can split that join, as no order is asked of it
+        both = pairs.join(side("a"), "a").join(side("p"), "p").where(enough("na", "np", as_set(F.col("xa")), as_set(F.col("xp"))))
+        return scratch.put(both.select("a", F.col("p").alias("b")), "links")
+
+    links = verified(pairs)
+    roots = scratch.put(components(spark, scratch, links), "roots")
+    families = scratch.put(pairs.select("p", F.col("a").alias("id")).union(pairs.select("p", F.col("p").alias("id")).distinct()), "families")
+    for k in range(rounds + 1):
         scratch.sweep()
+        at = families.join(roots, "id", "left").select("p", "id", F.coalesce("root", "id").alias("root"))
+        parts = at.groupBy("p", "root").agg(F.count("*").alias("n"))
+        top = parts.groupBy("p").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+        top = scratch.put(top.select("p", F.col("top.root").alias("main"), F.col("all").cast("long").alias("members"), (F.col("all") - F.col("top.n")).cast("long").alias("others")), "open")
+        if top.isEmpty():
+            break
+        at = scratch.put(at.join(top, "p"), "members")
+        if k < rounds:
+            salt = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(pivots)).alias("salt")
+            inside = at.where("root = main").groupBy("p", salt).agg(F.min("id").alias("pivot")).select("p", "pivot")
+            new = at.where("root <> main").select("p", F.col("id").alias("a")).join(inside, "p").select("a", F.col("pivot").alias("p"))
+            new = verified(new.distinct())
+        else:
+            new = _rest(scratch, at, data.select("id", "n", as_set(F.col("x")).alias("x")), enough)
+        if not new.isEmpty():
+            edges = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(new)
+            roots = scratch.put(components(spark, scratch, edges), "roots")
+    return None if roots.isEmpty() else roots
+
+
+def _rest(scratch: Scratch, at: DataFrame, sets: DataFrame, enough) -> DataFrame:
+    """Links (a, b) of members (p, id, root, main, members, others) outside the main component with any other of the family."""
+    mine = at.groupBy("id").agg(F.collect_list("p").alias("mine"))
+    rows = at.join(mine.join(sets, "id"), "id")
+    deal = lambda c, by: F.pmod(F.xxhash64("id", F.lit(by)), F.ceil(F.col(c) / BLOCK)).alias(by)
+    every = lambda c, by: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / BLOCK) - 1)).alias(by)
+    keep = ["id", "root", "n", "mine", "x"]
+    a = rows.select("p", deal("members", "part"), every("others", "turn"), *[F.col(c).alias(f"a_{c}") for c in keep])
+    b = rows.where("root <> main").select("p", every("members", "part"), deal("others", "turn"), (F.col("id")).alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in keep[1:]])
+    first = F.array_min(F.array_intersect("a_mine", "b_mine")) == F.col("p")
+    both = a.join(b, ["p", "part", "turn"]).where((F.col("a_root") != F.col("b_root")) & first & enough("a_n", "b_n", F.col("a_x"), F.col("b_x")))
+    return scratch.put(both.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct(), "links")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, so that no name of theirs can clash with another."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, row: str = "row", **new: Column) -> DataFrame:
+    """The columns of docs out of ``row``, some of them renewed."""
+    return rows.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"{row}.{quoted(c)}")).alias(c) for c in docs.columns])

@@ -1,26 +1,25 @@
 """Fuzzy line dedup with DataFrame functions only: no Python runs on the executors.
 
-1. A line (texts are cut at ``\\n``, white space at its ends ignored) has as its set the
-   distinct character shingles, as 64-bit hashes; a shorter line is its own shingle.
-2. Signature: MinHash with one permutation. The hashes fall into 64 bins by their highest
-   bits, and each bin has its minimum; a band is three or four bins next to one another.
-   Empty bins count as equal, bands of empty bins alone do not count.
-3. Lines that share a band share a bucket; ``common.linked_groups`` decides all pairs of a
-   bucket, with the exact Jaccard similarity of both whole sets.
-4. Union-find over the links. Of each component the first line stays, by doc_id and then
-   line number; the others are cut from their documents.
-
-Two long lines of similarity 0.8 are missed with a chance of about 1e-6. One replaced inner
-character changes 8 shingles: lines under 79 characters that differ in one are under 0.8, and
-both stay.
-Equal lines are one node, so a line that a third of all
-documents hold is one row after the first grouped minimum.
+1. Texts are cut at ``\\n``, white space at a line's ends is ignored. Equal lines become one
+   by their text, so that each distinct line is worked on once, however many documents hold it.
+2. A line has as its set the distinct character shingles, as 64-bit hashes; a shorter line is
+   its own shingle.
+3. Signature: MinHash by one permutation. ``bands`` points lie evenly on the circle of hashes,
+   and a band is made of the ``rows`` hashes that come next after its point. Lines that share
+   a band share a bucket (``common.stars``).
+4. ``common.linked_groups`` decides all pairs of a bucket, with the exact Jaccard similarity
+   of both whole sets, and joins what is linked by union-find. Of each component the first
+   line stays, by doc_id and then line number; the others are cut from their documents.
+
+Two long lines of similarity 0.8 are missed with a chance of about 2e-4, at 0.85 of 4e-6. One
+replaced inner character changes 8 shingles: lines under 79 characters that differ in one are
+under 0.8, and both stay.
 
 Blank lines and null texts stay as they are. Rows with a null id take no part and stay
 whole. Of rows that share an id and a line number, an equal line stays in all or none. A
 document that loses all lines but blank ones is dropped by ``dedup``, one that had none
-before is not. Lines are identified by 64-bit hashes. Extra columns are kept as they are,
-whatever their names; ``n_chars`` is renewed.
+before is not. An empty table gives no rows. Extra columns are kept as they are, whatever
+their names; ``n_chars`` is renewed.
 """
 
 from __future__ import annotations
@@ -30,19 +29,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, linked_groups, shared_buckets
+from .common import FEW_BUCKETS, Scratch, linked_groups, stars, unpacked, whole_row
 
 
 @dataclass(frozen=True)
 class Shape:
     chars: int = 8
     percent: int = 80
-    bands: int = 20
+    bands: int = 16
+    rows: int = 4
+    #: Hashes that are looked at after each point, on average. More than ``rows`` of them are
+    #: there but for one case in a hundred; then the band has fewer.
+    spare: int = 10
+    #: Parts in which bands are dealt out.
+    passes: int = 2
 
 
-#: Bins of the one permutation: the highest bits of a hash.
-BINS = 64
-BIN_SHIFT = 58
+#: Points have no bits below this one; a hash that has none is as good as impossible, and only adds a band.
+POINT_BITS = 48
 
 
 def once(value: Column, use) -> Column:
@@ -53,39 +57,39 @@ def once(value: Column, use) -> Column:
 def shingles(line: Column, chars: int) -> Column:
     """Hashes of all runs of ``chars`` characters; a shorter line is its own run."""
 
-    def runs(count: Column, run) -> Column:
-        return F.transform(F.sequence(F.lit(0), count - chars), lambda i: F.xxhash64(run(i)))
-
     def narrow(wide: Column) -> Column:
-        n = F.length(line)
-        many = runs(n, lambda i: F.substring(wide, 2 * i + 1, F.lit(2 * chars)))
+        last = F.octet_length(wide) - (2 * chars - 1)
+        many = F.transform(F.sequence(F.lit(1), last, F.lit(2)), lambda i: F.xxhash64(F.substring(wide, i, F.lit(2 * chars))))
         few = F.array(F.xxhash64(wide))
-        return F.when(F.octet_length(wide) != 2 * n, once(F.encode(line, "UTF-32"), broad)).when(n > chars, many).otherwise(few)
+        return F.when(F.octet_length(wide) != 2 * F.length(line), once(F.encode(line, "UTF-32"), broad)).when(last > 1, many).otherwise(few)
 
     def broad(wide: Column) -> Column:
         """Where some characters take four bytes in UTF-16: cut by code points, hashed as the others are."""
-        n = (F.octet_length(wide) / 4).cast("int")
-        many = runs(n, lambda i: F.encode(F.decode(F.substring(wide, 4 * i + 1, F.lit(4 * chars)), "UTF-32"), "UTF-16BE"))
-        return F.when(n > chars, many).otherwise(F.array(F.xxhash64(F.encode(line, "UTF-16BE"))))
+        last = F.octet_length(wide) - (4 * chars - 1)
+        many = F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda i: F.xxhash64(F.encode(F.decode(F.substring(wide, i, F.lit(4 * chars)), "UTF-32"), "UTF-16BE")))
+        return F.when(last > 1, many).otherwise(F.array(F.xxhash64(F.encode(line, "UTF-16BE"))))
 
     # two bytes a character: a shingle is found without counting from the start
     return once(F.encode(line, "UTF-16BE"), narrow)
 
 
 def signature(hashes: Column, p: Shape) -> Column:
-    """Band hashes: a band is the smallest hashes of its bins."""
-
-    def heads(x: Column) -> Column:
-        """Of the sorted hashes, the first of each bin."""
-        return F.filter(x, lambda h, i: (i == 0) | (F.shiftright(h, BIN_SHIFT) != F.shiftright(F.get(x, i - 1), BIN_SHIFT)))
+    """A band after each point: the next hashes on the circle, in order. ``bands`` is a power of two."""
+    gap = (1 << 64) // p.bands
+    points = [k * gap - (1 << 63) for k in range(p.bands)]
+    # of long sets only what lies near behind a point is sorted; the rest could only follow it
+    near = (F.least(F.lit(1.0), F.lit(float(p.spare * p.bands)) / F.size(hashes)) * float(gap)).cast("long")
+    some = once(near, lambda most: F.filter(hashes, lambda h: h.bitwiseAND(F.lit(gap - 1)) <= most))
+    marked = F.sort_array(F.array_union(some, F.array(*[F.lit(x).cast("long") for x in points])))
+    circle = F.concat(marked, F.slice(marked, 1, p.rows + 1))
+    low = F.lit((1 << POINT_BITS) - 1)
 
-    def band(x: Column, first: int, after: int) -> Column:
-        lo, hi = ((k - BINS // 2) << BIN_SHIFT for k in (first, after))
-        mine = F.filter(x, lambda h: (h >= F.lit(lo)) & (h <= F.lit(hi - 1)))
-        return once(mine, lambda m: F.when(F.size(m) > 0, F.xxhash64(F.lit(first), m)))
+    def band(point: int) -> Column:
+        next_ = F.slice(circle, (F.array_position(marked, F.lit(point).cast("long")) + 1).cast("int"), p.rows)
+        # where only points follow there is nothing to share
+        return F.when(F.exists(next_, lambda h: h.bitwiseAND(low) != 0), F.xxhash64(F.lit(point).cast("long"), next_))
 
-    cuts = [BINS * k // p.bands for k in range(p.bands + 1)]
-    return once(once(F.sort_array(hashes), heads), lambda x: F.array_compact(F.array(*[band(x, a, b) for a, b in zip(cuts, cuts[1:])])))
+    return F.array_compact(F.array(*[band(x) for x in points]))
 
 
 def stripped(line: Column) -> Column:
@@ -93,75 +97,78 @@ def stripped(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line: those that aren't blank."""
-    cut = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return cut.select("doc_id", "pos", stripped(F.col("raw")).alias("line")).where("line <> ''")
+    """doc_id, twin (tells apart texts that share an id), pos, line: those that aren't blank."""
+    cut = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("twin"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    return cut.select("doc_id", "twin", "pos", stripped(F.col("raw")).alias("line")).where("line <> ''")
+
+
+def _key(line: str = "line") -> list[Column]:
+    """A line by 128 bits."""
+    return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2")]
 
 
 def removals(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
-    """doc_id, gone: hashes of (line, number) of all lines to be cut from the document."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    every = lines(docs).withColumn("id", F.xxhash64("line"))
-    marks = every.select("doc_id", "pos", "id", signature(shingles(F.col("line"), p.chars), p).alias("bands"))
-    marks = scratch.put(marks, "marks")
-    # sizes of sets are not known here: all count as alike
-    members = shared_buckets(scratch, marks.select("id", F.lit(1).alias("n"), F.explode("bands").alias("bucket")))
-
-    # the lines that are in a shared bucket, once; by id on both sides at any size
-    held = every.select("id", "line").join(members.select("id").distinct().hint("merge"), "id", "left_semi")
-    held = scratch.put(held.groupBy("id").agg(F.min("line").alias("line")), "texts")
+    """doc_id, twin, gone: for each line number up to the last that goes, ``1`` if it goes, else ``0``."""
+    scratch = Scratch(docs.sparkSession)
+    every = lines(docs)
+    known = every.groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
+    known = scratch.put(known.select(F.monotonically_increasing_id().alias("id"), *_key(), "first_doc", "copies", "line"), "lines")
     scratch.sweep()
+    bands = scratch.put(known.select("id", signature(shingles(F.col("line"), p.chars), p).alias("bands")), "bands")
+    pairs = stars(scratch, bands, p.bands, p.passes)
+    scratch.drop(bands)
+    ids = scratch.put(pairs.select(F.col("a").alias("id")).union(pairs.select("p")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= FEW_BUCKETS else ids.hint("merge")
+    held = known.select("id", "line").join(ids, "id", "left_semi")
+    held = scratch.put(held.select("id", F.size(F.array_distinct(shingles(F.col("line"), p.chars))).alias("n"), F.col("line").alias("x")), "held")
+    scratch.sweep()
+    roots = linked_groups(scratch, pairs, held, lambda x: F.array_distinct(shingles(x, p.chars)), p.percent)
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(held.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-        both = both.select("a", "b", *[F.array_distinct(shingles(F.col(c), p.chars)).alias(c) for c in ("x", "y")])
-        both = both.select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("common"))
-        links = both.where(F.col("common") * 100 >= (F.col("sum") - F.col("common")) * p.percent).select("a", "b")
-        return scratch.put(links, "links")
-
-    roots = linked_groups(spark, scratch, members, similar, p.percent)
-    first = marks.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    first = known.drop("line")
     # the first place of each line: the smallest document, and there the smallest number
     if roots is None:
         first = first.withColumn("root", F.col("id"))
     else:
         first = first.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    group = first.groupBy("root").agg(F.sum("copies").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
-    group = scratch.put(first.select("id", "root").join(group, "root").select("id", "root", "first_doc"), "groups")
-    places = marks.select("doc_id", "pos", "id").join(group, "id")
-    number = places.where("doc_id = first_doc").groupBy("root").agg(F.min("pos").alias("first_pos"))
-    out = places.join(number, "root").where("doc_id <> first_doc or pos <> first_pos")
-    return out.groupBy("doc_id").agg(F.collect_set(F.xxhash64("id", "pos")).alias("gone"))
+    group = first.groupBy("root").agg(F.sum("copies").alias("all"), F.min("first_doc").alias("first")).where(F.col("all") > 1)
+    group = scratch.put(first.select("k1", "k2", "root").join(group, "root").select("k1", "k2", "root", "first"), "groups")
+    scratch.sweep()
+    places = scratch.put(every.select("doc_id", "twin", "pos", *_key()).join(group, ["k1", "k2"]).select("doc_id", "twin", "pos", "root", "first"), "places")
+    scratch.sweep()
+    number = places.where("doc_id = first").groupBy("root").agg(F.min("pos").alias("first_pos"))
+    out = places.join(number, "root").where("doc_id <> first or pos <> first_pos")
+    out = out.groupBy("doc_id", "twin").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    run = F.transform("at", lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get("at", i - 1), F.lit(-1)) - 1), F.lit("1")))
+    return scratch.put(out.select("doc_id", "twin", F.array_join(run, "").cast("binary").alias("gone")), "gone")
 
 
 def with_kept_lines(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
-    """docs and two arrays: ``__lines`` of all lines, ``__kept`` of those that stay."""
-    gone = removals(docs, p).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    out = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").withColumn("__lines", F.split("text", "\n"))
-    kept = F.filter("__lines", lambda x, i: ~F.array_contains(F.col("__gone"), F.xxhash64(F.xxhash64(stripped(x)), i)))
-    return out.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(kept))
+    """``row``, ``gone``, and two arrays: ``lines`` of all lines, ``kept`` of those that stay."""
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("twin"))
+    out = rows.join(removals(docs, p), ["doc_id", "twin"], "left").select("row", "gone", F.split("row.text", "\n").alias("lines"))
+    kept = F.filter("lines", lambda x, i: F.substring(F.col("gone"), i + 1, F.lit(1)) != F.lit(b"1"))
+    return out.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))
 
 
 def dedup(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     """The documents, with all their columns, without repeated lines."""
     out = with_kept_lines(docs, p)
-    out = out.where(F.col("__gone").isNull() | F.exists("__kept", lambda x: stripped(x) != ""))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    names = {"text": text}
+    out = out.where(F.col("gone").isNull() | F.exists("kept", lambda x: stripped(x) != ""))
+    whole = F.col("gone").isNull()
+    text = F.when(whole, F.col("row.text")).otherwise(F.array_join("kept", "\n"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        names["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[names[c].alias(c) if c in names else F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length(text))
+    return unpacked(out, docs, **new)
 
 
 def report(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of what stays; null for a null text)."""
-    out = with_kept_lines(docs, p)
-    n = F.coalesce(F.size("__lines"), F.lit(0))
-    n = F.when(F.col("text").isNull(), 0).otherwise(n)
+    out = with_kept_lines(docs.select("doc_id", "text"), p)
+    whole, text = F.col("gone").isNull(), F.col("row.text")
     return out.select(
-        "doc_id",
-        n.cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")).cast("long").alias("n_removed"),
-        F.sha2(F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n")), 256).alias("kept_sha256"),
+        "row.doc_id",
+        F.when(text.isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(whole, 0).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_removed"),
+        F.sha2(F.when(whole, text).otherwise(F.array_join("kept", "\n")), 256).alias("kept_sha256"),
     )

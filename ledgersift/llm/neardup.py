@@ -5,15 +5,12 @@
    correlated and signatures vary less than independent hashes; an element stops as soon
    as its next rank cannot lower any slot. Texts with equal sets become one class.
 2. Banding: classes that share a band of the signature share a bucket.
-3. Pivots: in each bucket the smallest id is compared with all other members. A group of
-   like texts becomes one component by a comparison each, however large it is.
-4. What is left: members of a bucket that are in different components are held against one
-   another by their signatures, in blocks of at most ``BLOCK`` rows and inside numpy; only
-   pairs whose estimate is within ``margin`` of the threshold (five and a half deviations
-   of the estimate for long texts, more for short ones) are formed at all. A pair at the
-   threshold is lost there with a chance under 1e-6.
-5. Verification: the full sets of both texts are intersected; nothing is estimated.
-6. Union-find over the links (``common.components``), on class ids.
+3. Verification (``common.linked_groups``): all pairs that share a bucket are in one component
+   already or are decided, on the full sets of both texts; nothing is estimated. A group of
+   like texts becomes one component by a comparison each, however large it is; only what is
+   then outside of it is held against its other members, inside a join that lets only links
+   through.
+4. Union-find over the links (``common.components``), on class ids.
 
 With 40 bands of 6 rows a pair with similarity 0.8 is missed with a chance of 5e-6 at most, and
 one with 0.85 with 6e-9. Long bands matter: texts that share a frequent line or two, as a third
@@ -34,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Scratch, arrow_batches, hash_words, linked_groups, mix, shared_buckets, slices
+from .common import SPACED, Scratch, arrow_batches, hash_words, linked_groups, mix, slices, stars, unpacked, whole_row
 
 
 @dataclass(frozen=True)
@@ -44,16 +41,6 @@ class Shape:
     bands: int = 40
     rows: int = 6
 
-    @property
-    def margin(self) -> float:
-        """Five and a half deviations of the estimate at the threshold, were slots independent."""
-        share = self.percent / 100
-        return 5.5 * (share * (1 - share) / (self.bands * self.rows)) ** 0.5
-
-
-#: Members of a bucket that are held against one another at once.
-BLOCK = 1024
-
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, element) of all distinct elements, by row and then element."""
@@ -124,7 +111,7 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, p: Shape) -> DataFrame:
-    """doc_id, n (set size), d1, d2 (digest of the set), bands, sig (a byte of each slot)."""
+    """doc_id, n (set size), d1, d2 (digest of the set), bands."""
 
     def run(batches):
         for part, data, offs in slices(batches, "text"):
@@ -139,105 +126,29 @@ def sketch(docs: DataFrame, p: Shape) -> DataFrame:
                     d1[full], d2[full] = np.add.reduceat(mix(e), heads), np.bitwise_xor.reduceat(mix(e + np.uint64(7)), heads)
             sig = super_minhash(row, e, n, p.bands * p.rows)
             h = band_hashes(sig, p.bands, p.rows).astype(np.int64, casting="unsafe")
-            few = (mix(sig.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(np.arange(0, n * p.bands + 1, p.bands, dtype=np.int32), h.ravel()), pa.array([x.tobytes() for x in few], pa.binary())],
-                ["doc_id", "n", "d1", "d2", "bands", "sig"],
+                [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(np.arange(0, n * p.bands + 1, p.bands, dtype=np.int32), h.ravel())],
+                ["doc_id", "n", "d1", "d2", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, p: Shape) -> DataFrame:
-    """id, elements: the full sets of these documents, packed."""
+    """id, n, x: the full sets of these documents."""
 
     def run(batches):
         for part, data, offs in slices(batches, "text"):
             row, e = shingle_sets(data, offs, p.words)
             cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([e[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], ["id", "elements"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(cut).astype(np.int64)), pa.ListArray.from_arrays(cut.astype(np.int32), e.view(np.int64))], ["id", "n", "x"])
 
     # by id on both sides at any size: what is shuffled grows as the input does
     held = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
-    return held.mapInArrow(run, "id long, elements binary")
-
-
-def _verified(scratch: Scratch, sets: DataFrame, pairs: DataFrame, p: Shape) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar."""
-
-    def similar(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
-                keep.append(bool(both) and 100 * both >= p.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    # the pivots, on the side of b, may be in many pairs: that join can be split by Spark, as no order is asked of it
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
-    return scratch.put(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "links")
-
-
-def _alike(at: DataFrame, sigs: DataFrame, p: Shape) -> DataFrame:
-    """Of open members (bucket, id, n, root), the pairs (a, b) whose signatures allow a link."""
-    cuts = at.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    rows = at.join(sigs, "id").join(cuts, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    # a member meets those of its own block, and of every other block
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
-    keys = ["bucket", "lo", "hi"]
-    least = p.percent / 100 - p.margin
-
-    def near(bucket: int, rows) -> tuple[np.ndarray, np.ndarray]:
-        i, n, root, sig, bands, first = rows
-        out = []
-        left = np.flatnonzero(first)
-        right = np.flatnonzero(~first) if not first.all() else left
-        for at in range(0, len(left), 64):
-            a = left[at : at + 64]
-            same = (sig[a][:, None, :] == sig[right][None, :, :]).mean(axis=2) >= least
-            same &= (i[a][:, None] != i[right][None, :]) & (root[a][:, None] != root[right][None, :])
-            small, large = np.minimum(n[a][:, None], n[right][None, :]), np.maximum(n[a][:, None], n[right][None, :])
-            same &= small * 100 >= large * p.percent
-            x, y = np.nonzero(same)
-            x, y = a[x], right[y]
-            # a pair is formed in the first bucket that it shares; were one its pivot there, it has been compared
-            mine = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == bucket
-            out.append((i[x[mine]], i[y[mine]]))
-        x, y = (np.concatenate(z) for z in zip(*out))
-        both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
-        return both[:, 0], both[:, 1]
+    return held.mapInArrow(run, "id long, n long, x array<long>")
 
-    def run(batches):
-        held = None
-        for batch in _then_none(batches):
-            if batch is not None:
-                key = np.stack([np.asarray(batch.column(c)) for c in keys], axis=1)
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                bands = np.asarray(batch.column("bands").flatten()).reshape(batch.num_rows, -1)
-                new = (key, *(np.asarray(batch.column(c)) for c in ("id", "n", "root")), sig, bands, np.asarray(batch.column("part")) == key[:, 1])
-                held = new if held is None else tuple(np.concatenate(z) for z in zip(held, new))
-            if held is None or not len(held[0]):
-                continue
-            edge = np.flatnonzero((held[0][1:] != held[0][:-1]).any(axis=1)) + 1
-            cut = [0, *edge.tolist()] + ([len(held[0])] if batch is None else [])
-            pairs = [near(held[0][a, 0], tuple(z[a:b] for z in held[1:])) for a, b in zip(cut, cut[1:]) if b - a > 1]
-            held = tuple(z[cut[-1] :] for z in held)
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*pairs)], ["a", "b"])
-
-    dealt = rows.select(*keys, "id", "n", "root", "part", "sig", "bands").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _then_none(batches):
-    """The batches, and then None: the end of the partition."""
-    yield from batches
-    yield None
-
-
-def link(docs: DataFrame, p: Shape = Shape()) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
+
+def link(docs: DataFrame, p: Shape = Shape()) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(sketches, classes, components): see ``near_duplicates``."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -247,19 +158,20 @@ def link(docs: DataFrame, p: Shape = Shape()) -> tuple[DataFrame, DataFrame, Dat
     scratch.sweep()
     classes = marks.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"))
     # equal sets have equal bands: any row of the class with its id has them
-    reps = marks.where("n > 0").select(F.col("doc_id").alias("id"), "n", "d1", "d2", "bands", "sig").join(classes, ["n", "d1", "d2", "id"], "left_semi").dropDuplicates(["n", "d1", "d2"])
+    reps = marks.where("n > 0").select(F.col("doc_id").alias("id"), "n", "d1", "d2", "bands").join(classes, ["n", "d1", "d2", "id"], "left_semi").dropDuplicates(["n", "d1", "d2"])
     classes = scratch.put(reps, "classes")
-    members = shared_buckets(scratch, classes.select("id", "n", F.explode("bands").alias("bucket")))
+    scratch.sweep()
+    pairs = stars(scratch, classes.select("id", "bands"), p.bands)
     arrow_batches(spark, 200)
-    sets = scratch.put(_sets(docs, members.select("id").distinct(), p), "sets")
+    sets = scratch.put(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("p")).distinct(), p), "sets")
+    arrow_batches(spark)
     scratch.sweep()
-    roots = linked_groups(spark, scratch, members, lambda pairs: _verified(scratch, sets, pairs, p), p.percent, lambda at: _alike(at, classes.select("id", "sig", "bands"), p))
-    return marks, classes, roots, scratch
+    return marks, classes, linked_groups(scratch, pairs, sets, lambda x: x, p.percent)
 
 
 def near_duplicates(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept. A component's id is its smallest doc_id."""
-    marks, classes, roots, _ = link(docs, p)
+    marks, classes, roots = link(docs, p)
     classes = classes.select("n", "d1", "d2", "id")
     if roots is not None:
         classes = classes.join(roots, "id", "left").select("n", "d1", "d2", F.coalesce("root", "id").alias("component_id"))
@@ -278,6 +190,6 @@ def dedup(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
 
     Rows that share an id stay or go together. Rows with a null id stay.
     """
-    verdict = near_duplicates(docs, p).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(verdict, F.col("doc_id") == F.col("__id"), "left_anti")
-    return left
+    gone = near_duplicates(docs, p).where("NOT kept").select("doc_id").distinct()
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return unpacked(rows.join(gone, "doc_id", "left_anti"), docs)
