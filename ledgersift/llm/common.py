@@ -222,17 +222,17 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataF
 FEW_BUCKETS = 200_000
 
 
-def stars(scratch: Scratch, marks: DataFrame, bands: int, passes: int = 1) -> DataFrame:
+def stars(scratch: Scratch, marks: DataFrame, passes: int = 1) -> DataFrame:
     """(a, p): each id with the smallest id of each bucket that it is in, without pairs of equals.
 
-    marks: (id, bands), ids being distinct and bands an array of as many bucket keys. Any
-    two ids of a bucket have a pair with the same p. There are at most as many pairs as
-    members of buckets, however large a bucket is. ``passes`` parts of the bands are dealt
-    one after another, so that their shuffles don't lie on disk together.
+    marks: (id, bucket). Any two ids of a bucket have a pair with the same p. There are at
+    most as many pairs as members of buckets, however large a bucket is. The buckets are
+    dealt in ``passes`` parts, one after another, so that their shuffles don't lie on disk
+    together.
     """
-    found, cuts = None, [1 + bands * k // passes for k in range(passes + 1)]
-    for lo, hi in zip(cuts, cuts[1:]):
-        rows = marks.select("id", F.explode(F.array_distinct(F.slice("bands", lo, hi - lo))).alias("bucket"))
+    found = None
+    for k in range(passes):
+        rows = marks.where(F.pmod("bucket", F.lit(passes)) == k)
         sums = rows.groupBy("bucket").agg(F.min("id").alias("p"), F.max("id").alias("hi"), F.count("*").alias("n")).where("p <> hi")
         sums = scratch.put(sums, "buckets")
         scratch.sweep()

@@ -38,9 +38,6 @@ class Shape:
     percent: int = 80
     bands: int = 16
     rows: int = 4
-    #: Hashes that are looked at after each point, on average. More than ``rows`` of them are
-    #: there but for one case in a hundred; then the band has fewer.
-    spare: int = 10
     #: Parts in which bands are dealt out.
     passes: int = 2
 
@@ -73,23 +70,19 @@ def shingles(line: Column, chars: int) -> Column:
     return once(F.encode(line, "UTF-16BE"), narrow)
 
 
-def signature(hashes: Column, p: Shape) -> Column:
-    """A band after each point: the next hashes on the circle, in order. ``bands`` is a power of two."""
-    gap = (1 << 64) // p.bands
-    points = [k * gap - (1 << 63) for k in range(p.bands)]
-    # of long sets only what lies near behind a point is sorted; the rest could only follow it
-    near = (F.least(F.lit(1.0), F.lit(float(p.spare * p.bands)) / F.size(hashes)) * float(gap)).cast("long")
-    some = once(near, lambda most: F.filter(hashes, lambda h: h.bitwiseAND(F.lit(gap - 1)) <= most))
-    marked = F.sort_array(F.array_union(some, F.array(*[F.lit(x).cast("long") for x in points])))
-    circle = F.concat(marked, F.slice(marked, 1, p.rows + 1))
-    low = F.lit((1 << POINT_BITS) - 1)
-
-    def band(point: int) -> Column:
-        next_ = F.slice(circle, (F.array_position(marked, F.lit(point).cast("long")) + 1).cast("int"), p.rows)
-        # where only points follow there is nothing to share
-        return F.when(F.exists(next_, lambda h: h.bitwiseAND(low) != 0), F.xxhash64(F.lit(point).cast("long"), next_))
-
-    return F.array_compact(F.array(*[band(x) for x in points]))
+def buckets(rows: DataFrame, p: Shape) -> DataFrame:
+    """id, bucket: of rows (id, hashes), a row for each band."""
+    points = F.array(*[F.lit(k * (1 << 64) // p.bands - (1 << 63) >> POINT_BITS << POINT_BITS).cast("long") for k in range(p.bands)])
+    marked = rows.select("id", F.sort_array(F.array_union("hashes", points)).alias("marked"))
+    # exploded, as this is compiled, but a lambda over points is not
+    each = marked.select("id", "marked", F.explode(points).alias("point"))
+    each = each.select("id", "marked", "point", F.array_position("marked", F.col("point")).cast("int").alias("at"))
+    next_ = [F.get("marked", F.pmod(F.col("at") + j, F.size("marked"))) for j in range(p.rows)]
+    # where only points follow there is nothing to share
+    some = F.lit(False)
+    for x in next_:
+        some = some | (x.bitwiseAND(F.lit((1 << POINT_BITS) - 1)) != 0)
+    return each.where(some).select("id", F.xxhash64("point", *next_).alias("bucket"))
 
 
 def stripped(line: Column) -> Column:
@@ -114,9 +107,9 @@ def removals(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     known = every.groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
     known = scratch.put(known.select(F.monotonically_increasing_id().alias("id"), *_key(), "first_doc", "copies", "line"), "lines")
     scratch.sweep()
-    bands = scratch.put(known.select("id", signature(shingles(F.col("line"), p.chars), p).alias("bands")), "bands")
-    pairs = stars(scratch, bands, p.bands, p.passes)
-    scratch.drop(bands)
+    marks = scratch.put(buckets(known.select("id", shingles(F.col("line"), p.chars).alias("hashes")), p), "bands")
+    pairs = stars(scratch, marks, p.passes)
+    scratch.drop(marks)
     ids = scratch.put(pairs.select(F.col("a").alias("id")).union(pairs.select("p")).distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= FEW_BUCKETS else ids.hint("merge")
     held = known.select("id", "line").join(ids, "id", "left_semi")

@@ -161,7 +161,7 @@ def link(docs: DataFrame, p: Shape = Shape()) -> tuple[DataFrame, DataFrame, Dat
     reps = marks.where("n > 0").select(F.col("doc_id").alias("id"), "n", "d1", "d2", "bands").join(classes, ["n", "d1", "d2", "id"], "left_semi").dropDuplicates(["n", "d1", "d2"])
     classes = scratch.put(reps, "classes")
     scratch.sweep()
-    pairs = stars(scratch, classes.select("id", "bands"), p.bands)
+    pairs = stars(scratch, classes.select("id", F.explode("bands").alias("bucket")))
     arrow_batches(spark, 200)
     sets = scratch.put(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("p")).distinct(), p), "sets")
     arrow_batches(spark)
