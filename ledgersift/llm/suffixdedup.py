@@ -3,45 +3,46 @@
 Windows are the strings of ``length`` bytes of a text. Equal windows have equal anchors:
 the leftmost of the smallest ``GRAM``-byte hashes in them. That makes the work local:
 
-1. Every text's anchors are dealt out by hash, as packed pieces, once per text. A bucket
-   finds the anchors that two documents have; all other windows are unique to a document.
-2. Texts with such anchors give each of them with its context, the bytes of all windows
-   around it. Contexts that are the same within a part of a task are dealt out once, for
-   the smallest document; the others are duplicates already.
+1. Texts become blocks of about ``BLOCK_BYTES``, packed and written once; a row is known by
+   its block and its place there. A block deals out its distinct anchors, four bytes each,
+   with a bit that says whether several of its rows have it. A bucket of anchors replies with
+   a bit for each: is it elsewhere too? All other windows are unique to a row.
+2. Blocks give each shared anchor with its context, the bytes of all windows around it.
+   Contexts that are the same within a block are dealt out once, for the smallest document;
+   the others are duplicates already.
 3. A bucket is a sparse suffix array over its contexts, sorted deep-shallow: multikey
    quicksort, eight bytes at a time, to a depth of ``SHALLOW``; what still shares a prefix
    is put in order by blind tries. Equal neighbours are copies. Where an anchor has
    different contexts, the suffixes at all of their windows are sorted in the same way.
    Of equal windows the smallest document's stays.
-4. Spans go back to their documents and are merged.
+4. Spans go back to their blocks and are merged.
 
-Buckets grow in number with the input, not in size. A string that a third of all
-documents hold reaches its bucket once for each part of a task. What decides is bytes,
-never hashes: an anchor's hash only says what is looked at.
+Buckets grow in number with the input, not in size, but for what nearly all blocks hold: a
+string reaches its bucket once for each block at most, however many documents have it. What
+decides is bytes: hashes only say what is looked at.
 
 Null texts are empty; rows with a null id take no part and lose nothing; rows that share
 an id don't take from one another. Texts shorter than ``length`` lose nothing. Extra
-columns are ignored.
+columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_VALUE, _STEP, Scratch, arrow_batches, mix, slices, text_buffers
+from .common import _BYTE_VALUE, _STEP, Scratch, arrow_batches, mix, slices
 
 LENGTH = 50
 GRAM = 20
 SHALLOW = 24
 #: Windows that are looked at together.
 PART = 1 << 19
-SLICE = 2 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text for each bucket of anchors, and of contexts.
 ANCHOR_BYTES = 48 << 20
 CONTEXT_BYTES = 6 << 20
@@ -104,9 +105,11 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    # the low half: anchors are small in the high half, being minima
-    return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def codes(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and key of each anchor: the key is in the low half."""
+    h = mix(h ^ np.uint64(0x2545F4914F6CDD1D))  # anchors are small, being minima
+    bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return bucket << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
 
 
 def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -285,139 +288,167 @@ def runs(flags: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return which[a], a - begin[which[a]], b - 1 - begin[which[a]] + length
 
 
-_PIECE = "bucket long, rows binary, docs binary, keys binary, row binary"
-_CONTEXT = "bucket long, rows binary, docs binary, row binary, first binary, n binary, off binary, bytes binary"
-_SPANS = "rk long, begins binary, ends binary"
+_BLOCK = "block long, ids array<long>, sizes binary, text binary, raw long"
+_PIECE = "bucket long, block long, keys binary, many binary"
+_REPLY = "block long, bucket long, bits binary"
+_CONTEXT = "bucket long, block long, rows binary, docs binary, row binary, first binary, n binary, off binary, bytes binary"
+_SPANS = "block long, spans binary"
+_OUT = "doc_id long, n_bytes long, begins array<long>, ends array<long>, kept binary"
 
 
 def _batch(rows: list[dict], ddl: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
     return pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _span_rows(rk: np.ndarray, begin: np.ndarray, end: np.ndarray):
-    """Spans, merged by row, as packed rows."""
-    order = np.lexsort((begin, rk))
-    rk, begin, end = rk[order], begin[order], end[order]
-    if not len(rk):
-        return
-    head = np.ones(len(rk), bool)
-    head[1:] = rk[1:] != rk[:-1]
+def merged(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of rows, without overlaps, in order."""
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order], begin[order], end[order]
+    if not len(row):
+        return row, begin, end
+    head = np.ones(len(row), bool)
+    head[1:] = row[1:] != row[:-1]
     # ends so far, within a row: rows are set apart by a shift
     shift = np.cumsum(head) * (np.int64(1) << 40)
     reach = np.maximum.accumulate(end + shift)
     new = head.copy()
     new[1:] |= begin[1:] + shift[1:] > reach[:-1]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(rk)) - 1
-    b, e, r = begin[first], (reach - shift)[last], rk[first]
-    cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1], [True]]))
-    for i, j in zip(cut.tolist(), cut[1:].tolist()):
-        yield {"rk": int(r[i]), "begins": b[i:j].astype("<i8").tobytes(), "ends": e[i:j].astype("<i8").tobytes()}
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], begin[first], (reach - shift)[last]
 
 
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs (doc_id, text, rk) -> rk, begins, ends: packed spans of bytes to remove; rows may repeat a rk."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    arrow_batches(spark, 500)
-    live = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "rk", "text")
-    total = live.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def _packed(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bytes:
+    return np.stack([row, begin, end], axis=1).astype("<i4").tobytes()
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, text), packed: their ids, their sizes, and their bytes back to back."""
+
+    def run(batches):
+        task, count = TaskContext.get().partitionId(), 0
+        ids, parts, size = [], [], 0
+
+        def packed():
+            data, sizes = b"".join(x.tobytes() for x, _ in parts), np.concatenate([n for _, n in parts])
+            return _batch([{"block": (task << 32) + count, "ids": ids, "sizes": sizes.astype("<i4").tobytes(), "text": pa.compress(data, codec="zstd", asbytes=True), "raw": len(data)}], _BLOCK)
+
+        for part, data, offs in slices(batches, "text", BLOCK_BYTES):
+            ids += part.column("doc_id").to_pylist()
+            parts.append((data, np.diff(offs)))
+            size += len(data)
+            if size >= BLOCK_BYTES:
+                yield packed()
+                ids, parts, size, count = [], [], 0, count + 1
+        if ids:
+            yield packed()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _BLOCK)
+
+
+class Block:
+    def __init__(self, row: dict) -> None:
+        self.number, self.sizes = row["block"], np.frombuffer(row["sizes"], "<i4").astype(np.int64)
+        self.data = np.frombuffer(pa.decompress(row["text"], row["raw"], codec="zstd", asbytes=True), np.uint8)
+        self.offs = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.live = np.array([x is not None for x in row["ids"]], bool)
+        self.docs = np.array([x if x is not None else 0 for x in row["ids"]], np.int64)
+
+    def anchors(self, length: int, gram: int):
+        """Runs of windows of rows that take part."""
+        found = anchors(self.data, self.offs, length, gram)
+        on = self.live[found[0]]
+        return found if on.all() else tuple(x[on] for x in found)
+
+
+def _rows(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+
+
+def removals(held: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Blocks -> block, spans: packed (row, begin, end) of bytes to remove; blocks repeat."""
+    total = held.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0]
     buckets, spread = int(total // ANCHOR_BYTES + 1), int(total // CONTEXT_BYTES + 1)
 
     def deal(batches):
-        for part, data, offs in slices(batches, "text", SLICE):
-            row, _, _, _, h = anchors(data, offs, length, gram)
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, row = h[new], row[new]
-            where = bucket_of(h, buckets)
-            order = np.lexsort((row, where))
-            h, row, where = h[order], row[order], where[order]
-            rk, doc = (np.asarray(part.column(c)) for c in ("rk", "doc_id"))
-            out = []
-            cut = np.searchsorted(where, np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(cut)).tolist():
-                mine = row[cut[k] : cut[k + 1]]
-                used, back = np.unique(mine, return_inverse=True)
-                out.append({"bucket": k, "rows": rk[used].tobytes(), "docs": doc[used].tobytes(), "keys": h[cut[k] : cut[k + 1]].tobytes(), "row": back.astype("<i4").tobytes()})
-            if out:
-                yield _batch(out, _PIECE)
-
-    def unpack(pdf: pd.DataFrame):
-        sizes = pdf["rows"].str.len().to_numpy() // 8
-        rk, doc = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("rows", "docs"))
-        row = np.frombuffer(b"".join(pdf["row"]), "<i4").astype(np.int64)
-        row += np.repeat(np.cumsum(sizes) - sizes, pdf["row"].str.len().to_numpy() // 4)
-        return rk, doc, row
+        for x in map(Block, _rows(batches)):
+            row, _, _, _, h = x.anchors(length, gram)
+            if not len(h):
+                continue
+            code, first, back = np.unique(codes(h, buckets), return_index=True, return_inverse=True)
+            many = np.zeros(len(code), bool)
+            many[back[row != row[first][back]]] = True
+            where = (code >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]])).tolist()
+            keys = code.astype("<u4")
+            out = [{"bucket": int(where[a]), "block": x.number, "keys": keys[a:b].tobytes(), "many": np.packbits(many[a:b]).tobytes()} for a, b in zip(cut, cut[1:])]
+            for at in range(0, len(out), 1024):
+                yield _batch(out[at : at + 1024], _PIECE)
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The anchors that more than one document has, for each row."""
-        rk, doc, row = unpack(pdf)
-        keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
+        """Which anchors other rows have too."""
+        size = pdf["keys"].str.len().to_numpy() // 4
+        keys = np.frombuffer(b"".join(pdf["keys"]), "<u4")
+        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(pdf["many"], size.tolist())]).astype(bool)
         order = np.argsort(keys, kind="stable")
-        keys, row = keys[order], row[order]
         new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        head, group = np.flatnonzero(new), np.cumsum(new) - 1
-        d = doc[row]
-        many = (np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head))[group]
-        keys, row = keys[many], rk[row[many]]
-        order = np.argsort(row, kind="stable")
-        keys, row = keys[order], row[order]
-        cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else np.zeros(1, np.int64)
-        return pd.DataFrame({"rk": row[cut[:-1]], "keys": [keys[i:j].tobytes() for i, j in zip(cut.tolist(), cut[1:].tolist())]})
-
-    pieces = live.mapInArrow(deal, _PIECE)
-    asked = scratch.put(pieces.groupBy("bucket").applyInPandas(shared, "rk long, keys binary"), "shared")
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        group = np.empty(len(keys), np.int64)
+        group[order] = np.cumsum(new) - 1
+        often = np.bincount(group) > 1
+        often[group[many]] = True
+        hit, cut = often[group], np.concatenate([[0], np.cumsum(size)]).tolist()
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": [np.packbits(hit[a:b]).tobytes() for a, b in zip(cut, cut[1:])]})
+
+    pieces = held.select("block", "ids", "sizes", "text", "raw").mapInArrow(deal, _PIECE)
+    replies = scratch.put(pieces.groupBy("bucket").applyInPandas(shared, _REPLY), "replies")
     scratch.sweep()
-    asked = asked.groupBy("rk").agg(F.collect_list("keys").alias("keys"))
-    near = live.join(asked, "rk").select("rk", "doc_id", "keys", "text")
+    replies = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("replies"))
 
     def contexts(batches):
-        """Contexts of shared anchors, and (negative buckets) the spans of copies within the part."""
-        for part, data, offs in slices(batches, "text", SLICE):
-            row, first, n, place, h = anchors(data, offs, length, gram)
-            rk, doc = (np.asarray(part.column(c)) for c in ("rk", "doc_id"))
-            wanted = [np.frombuffer(b"".join(k), np.uint64) for k in part.column("keys").to_pylist()]
-            cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-            use = np.zeros(len(h), bool)
-            for i, w in enumerate(wanted):
-                use[cut[i] : cut[i + 1]] = np.isin(h[cut[i] : cut[i + 1]], w)
+        """Contexts of shared anchors, and (negative buckets) the spans of copies within the block."""
+        for r in _rows(batches):
+            x = Block(r)
+            row, first, n, place, h = x.anchors(length, gram)
+            code, back = np.unique(codes(h, buckets), return_inverse=True)
+            count = np.unique(code >> np.uint64(32), return_counts=True)[1]
+            bits = [np.unpackbits(np.frombuffer(y["bits"], np.uint8), count=k) for y, k in zip(sorted(r["replies"], key=lambda y: y["bucket"]), count.tolist())]
+            use = np.concatenate(bits).astype(bool)[back]
             row, first, n, place, h = row[use], first[use], n[use], place[use], h[use]
             if not len(h):
                 continue
-            # equal contexts of this part: only those of the smallest document are dealt out
-            text = data.tobytes() + bytes(SHALLOW)
+            # equal contexts of this block: only those of the smallest document are dealt out
+            text = x.data.tobytes() + bytes(SHALLOW)
             _, same = deep_shallow(text, first, _numbered(h, n, place - first), n + length - 1)
             least = np.full(same.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, same, doc[row])
-            later = doc[row] > least[same]
-            spans = [{"bucket": -1 - abs(x["rk"]) % spread, "rows": np.array([x["rk"]]).tobytes(), "first": x["begins"], "n": x["ends"]} for x in _span_rows(rk[row[later]], (first - offs[row])[later], (first + n + length - 1 - offs[row])[later])]
-            if spans:
-                yield _batch(spans, _CONTEXT)
-            row, first, n, place, h = (x[~later] for x in (row, first, n, place, h))
-            where = bucket_of(h, spread)
+            np.minimum.at(least, same, x.docs[row])
+            later = x.docs[row] > least[same]
+            if later.any():
+                spans = merged(row[later], (first - x.offs[row])[later], (first + n + length - 1 - x.offs[row])[later])
+                yield _batch([{"bucket": -1 - x.number % spread, "block": x.number, "rows": _packed(*spans)}], _CONTEXT)
+            row, first, n, place, h = (y[~later] for y in (row, first, n, place, h))
+            where = (codes(h, spread) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(where, kind="stable")
-            row, first, n, place, h, where = (x[order] for x in (row, first, n, place, h, where))
-            cut = np.searchsorted(where, np.arange(spread + 1))
+            row, first, n, place, where = (y[order] for y in (row, first, n, place, where))
+            cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]])).tolist() if len(where) else []
             out = []
-            for k in np.flatnonzero(np.diff(cut)).tolist():
-                s = slice(cut[k], cut[k + 1])
-                used, back = np.unique(row[s], return_inverse=True)
+            for a, b in zip(cut, cut[1:]):
+                used, mine = np.unique(row[a:b], return_inverse=True)
                 out.append(
                     {
-                        "bucket": k,
-                        "rows": rk[used].tobytes(),
-                        "docs": doc[used].tobytes(),
-                        "row": back.astype("<i4").tobytes(),
-                        "first": (first[s] - offs[row[s]]).astype("<i4").tobytes(),
-                        "n": n[s].astype("u1").tobytes(),
-                        "off": (place[s] - first[s]).astype("u1").tobytes(),
-                        "bytes": pa.compress(data[ranges(first[s], n[s] + length - 1)].tobytes(), codec="zstd", asbytes=True),
+                        "bucket": int(where[a]),
+                        "block": x.number,
+                        "rows": used.astype("<i4").tobytes(),
+                        "docs": x.docs[used].tobytes(),
+                        "row": mine.astype("<i4").tobytes(),
+                        "first": (first[a:b] - x.offs[row[a:b]]).astype("<i4").tobytes(),
+                        "n": n[a:b].astype("u1").tobytes(),
+                        "off": (place[a:b] - first[a:b]).astype("u1").tobytes(),
+                        "bytes": pa.compress(x.data[ranges(first[a:b], n[a:b] + length - 1)].tobytes(), codec="zstd", asbytes=True),
                     }
                 )
             for at in range(0, len(out), 64):
@@ -425,67 +456,59 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
     def repeats(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] < 0:
-            return pd.DataFrame({"rk": np.frombuffer(b"".join(pdf["rows"]), np.int64), "begins": pdf["first"], "ends": pdf["n"]})
-        rk, doc, row = unpack(pdf)
+            return pd.DataFrame({"block": pdf["block"], "spans": pdf["rows"]})
+        used = pdf["rows"].str.len().to_numpy() // 4
+        size = pdf["row"].str.len().to_numpy() // 4
+        place, doc = np.frombuffer(b"".join(pdf["rows"]), "<i4").astype(np.int64), np.frombuffer(b"".join(pdf["docs"]), np.int64)
+        block = np.repeat(pdf["block"].to_numpy(), used)
+        row = np.frombuffer(b"".join(pdf["row"]), "<i4").astype(np.int64) + np.repeat(np.cumsum(used) - used, size)
         first = np.frombuffer(b"".join(pdf["first"]), "<i4").astype(np.int64)
         n, off = (np.frombuffer(b"".join(pdf[c]), "u1").astype(np.int64) for c in ("n", "off"))
         size = n + length - 1
-        packed = zip(pdf["bytes"], pdf["n"])
-        text = b"".join(pa.decompress(b, sum(k) + len(k) * (length - 1), codec="zstd", asbytes=True) for b, k in packed) + bytes(SHALLOW)
+        text = b"".join(pa.decompress(b, sum(k) + len(k) * (length - 1), codec="zstd", asbytes=True) for b, k in zip(pdf["bytes"], pdf["n"])) + bytes(SHALLOW)
         start = np.cumsum(size) - size
         keys = gram_hashes(np.frombuffer(text, np.uint8), gram)[start + off]
         flags = repeated_windows(text, start, n, off, keys, doc[row], length)
         which, a, b = runs(flags, n, length)
-        rows = list(_span_rows(rk[row[which]], first[which] + a, first[which] + b))
-        return pd.DataFrame(rows, columns=["rk", "begins", "ends"])
+        # rows are in order of their blocks
+        row, begin, end = merged(row[which], first[which] + a, first[which] + b)
+        cut = np.flatnonzero(np.concatenate([[True], block[row][1:] != block[row][:-1], [True]])).tolist() if len(row) else []
+        return pd.DataFrame([{"block": int(block[row[i]]), "spans": _packed(place[row[i:j]], begin[i:j], end[i:j])} for i, j in zip(cut, cut[1:])], columns=["block", "spans"])
 
-    return near.mapInArrow(contexts, _CONTEXT).groupBy("bucket").applyInPandas(repeats, _SPANS)
+    return held.join(replies, "block").mapInArrow(contexts, _CONTEXT).groupBy("bucket").applyInPandas(repeats, _SPANS)
 
 
-def _with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, Scratch]:
-    scratch = Scratch(docs.sparkSession)
-    rows = docs.withColumn("rk", F.xxhash64("doc_id", "text"))
-    spans = removals(rows, length).groupBy("rk").agg(F.collect_list(F.struct("begins", "ends")).alias("spans"))
-    spans = scratch.put(spans, "spans")
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_bytes, begins, ends (of the bytes that go), kept (the other bytes)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    arrow_batches(spark, 500)
+    held = scratch.put(blocks(docs), "blocks")
+    arrow_batches(spark, 1)  # a block at a time
+    spans = scratch.put(removals(held, scratch, length, gram).groupBy("block").agg(F.collect_list("spans").alias("spans")), "spans")
     scratch.sweep()
-    return rows.join(spans, "rk", "left"), scratch
-
 
-def cover(size: int, spans) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends of the merged spans."""
-    if not spans:
-        none = np.zeros(0, np.int64)
-        return none, none
-    b = np.frombuffer(b"".join(x["begins"] for x in spans), "<i8")
-    e = np.frombuffer(b"".join(x["ends"] for x in spans), "<i8")
-    order = np.argsort(b, kind="stable")
-    b, reach = b[order], np.maximum.accumulate(e[order])
-    new = np.ones(len(b), bool)
-    new[1:] = b[1:] > reach[:-1]
-    first = np.flatnonzero(new)
-    return b[first], reach[np.append(first[1:], len(b)) - 1]
+    def run(batches):
+        for r in _rows(batches):
+            x = Block(r)
+            spans = np.frombuffer(b"".join(r["spans"] or ()), "<i4").reshape(-1, 3).astype(np.int64)
+            row, begin, end = merged(*spans.T)
+            cut = np.searchsorted(row, np.arange(len(x.docs) + 1))
+            cover = np.zeros(len(x.data) + 1, np.int8)
+            np.add.at(cover, begin + x.offs[row], 1)
+            np.add.at(cover, end + x.offs[row], -1)
+            stays = np.cumsum(cover[:-1], dtype=np.int8) == 0
+            left = np.concatenate([[0], np.cumsum(stays)])[x.offs].astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), len(x.docs), [None, pa.py_buffer(left.tobytes()), pa.py_buffer(x.data[stays].tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r["ids"], pa.int64()), pa.array(x.sizes), pa.ListArray.from_arrays(cut.astype(np.int32), begin), pa.ListArray.from_arrays(cut.astype(np.int32), end), kept],
+                ["doc_id", "n_bytes", "begins", "ends", "kept"],
+            )
+
+    return held.join(spans, "block", "left").mapInArrow(run, _OUT)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows, _ = _with_spans(docs.select("doc_id", "text"), length)
-
-    def run(batches):
-        for batch in batches:
-            data, offs = text_buffers(batch.column("text"))
-            spans = batch.column("spans").to_pylist()
-            out = {"n_bytes": np.diff(offs), "n_removed": [], "n_spans": [], "kept_sha256": []}
-            for i, s in enumerate(spans):
-                text = data[offs[i] : offs[i + 1]]
-                b, e = cover(len(text), s)
-                digest_, at = hashlib.sha256(), 0
-                for x, y in zip(b.tolist(), e.tolist()):
-                    digest_.update(text[at:x].tobytes())
-                    at = y
-                digest_.update(text[at:].tobytes())
-                out["n_removed"].append(int((e - b).sum()))
-                out["n_spans"].append(len(b))
-                out["kept_sha256"].append(digest_.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[c], t) for c, t in (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())))], ["doc_id", *out])
-
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return dedup(docs, length).select("doc_id", "n_bytes", (total("ends") - total("begins")).alias("n_removed"), F.size("begins").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
