@@ -8,11 +8,15 @@ sampled counts) and every ``SAMPLE``-th suffix position; all windows of the benc
 searched backwards together, occurrences are located by walking to sampled positions, and
 the spans are merged.
 
-The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES`` of text, each in
-its own pass over the documents, so what is broadcast has a fixed bound.
-
-Null texts have no words. Items without words have no windows and match nothing. Repeated
-rows and ids are scanned each for itself; extra columns are ignored.
+Documents are read and indexed once. The benchmark goes to the executors in blocks of about
+``BLOCK_BYTES`` of text, of which a worker holds one at a time; all blocks are searched in
+the one index of a shard. Beside them a worker holds 8 bytes for each distinct word of the
+benchmark. How the benchmark is cut into blocks changes no result.
+
+Null texts have no words. Items without words have no windows and match nothing. Items with
+a null id count as one item, which is not named. Repeated rows and ids, and rows with a null
+id, are scanned each for itself; extra columns are ignored. Empty tables give no rows, an
+empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, arrow_batches, hash_runs, slices, word_spans
+from .common import ALNUM, LOWER, arrow_batches, hash_runs, slices, text_buffers, word_spans
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 4 << 20
 SAMPLE = 16
 WINDOW = 10
 
@@ -130,27 +135,23 @@ class FmIndex:
 class Phrases:
     """The distinct windows of some benchmark items, as symbols, and the items of each."""
 
-    def __init__(self, items: list[tuple[object, str | None]], size: int = WINDOW) -> None:
-        texts = [(str(i), (t or "").encode()) for i, t in items]
-        data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
-        offs = np.cumsum([0, *(len(t) for _, t in texts)])
-        hashes, row, *_ = words_of(data, offs)
-        self.vocab = np.unique(hashes)
-        symbol = np.searchsorted(self.vocab, hashes) + 1
-        cut = np.searchsorted(row, np.arange(len(texts) + 1))
-        found: dict[tuple, set] = {}
-        for (item, _), a, b in zip(texts, cut, cut[1:]):
-            for at in range(a, max(a + 1, b - size + 1)) if b > a else ():
-                found.setdefault(tuple(symbol[at : min(at + size, b)].tolist()), set()).add(item)
-        self.lengths = np.array([len(x) for x in found], np.int64)
-        self.windows = np.zeros((len(found), size), np.int64)
-        for k, x in enumerate(found):
-            self.windows[k, size - len(x) :] = x
-        names = sorted({i for x in found.values() for i in x})
-        place = {x: k for k, x in enumerate(names)}
-        self.names = np.array(names, object)
-        self.owners = np.array([place[i] for x in found.values() for i in sorted(x)], np.int64)
-        self.owned = np.cumsum([0, *(len(x) for x in found.values())])
+    def __init__(self, names: list[str | None], symbol: np.ndarray, row: np.ndarray, size: int = WINDOW) -> None:
+        cut = np.searchsorted(row, np.arange(len(names) + 1))
+        count = np.diff(cut)
+        item = np.repeat(np.arange(len(names)), np.where(count >= size, count - size + 1, np.minimum(count, 1)))
+        start = np.arange(len(item)) - np.searchsorted(item, item) + cut[item]
+        length = np.minimum(count, size)[item]
+        windows = np.zeros((len(item), size), np.int32)  # right-aligned
+        for k in range(size):
+            on = length > k
+            windows[on, size - 1 - k] = symbol[(start + length - 1)[on] - k]
+        _, first, back = np.unique(windows.view(f"V{4 * size}").ravel(), return_index=True, return_inverse=True)
+        self.windows, self.lengths = windows[first], length[first]
+        self.names = sorted(set(names), key=lambda x: (x is not None, x))
+        place = {x: k for k, x in enumerate(self.names)}
+        both = np.unique(back * max(len(names), 1) + np.array([place[x] for x in names], np.int64)[item])
+        self.owners = both % max(len(names), 1)
+        self.owned = np.searchsorted(both // max(len(names), 1), np.arange(len(first) + 1))
 
 
 def words_of(data: np.ndarray, offs: np.ndarray):
@@ -165,22 +166,37 @@ def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[which], which
 
 
-def scan_shard(p: Phrases, data: np.ndarray, offs: np.ndarray):
-    """(words of each row, row and first and last byte of each merged span with its number of words, (row, item) pairs)."""
+class Held:
+    """The benchmark on the executors: its words, and blocks of phrases of which a worker holds one at a time."""
+
+    def __init__(self, vocab, shortest: int, blocks: list) -> None:
+        self.vocab, self.shortest, self.blocks = vocab, shortest, blocks
+
+    def phrases(self):
+        for block in self.blocks:
+            yield block.value
+            if len(self.blocks) > 1:
+                vars(block).pop("_value", None)  # it is read again from the worker's own copy
+
+
+def scan_shard(held: Held, data: np.ndarray, offs: np.ndarray):
+    """(words of each row, row and first and last byte of each merged span with its number of words, the items of each row)."""
     n = len(offs) - 1
     hashes, row, begin, end = words_of(data, offs)
     n_words = np.bincount(row, minlength=n)
     none = np.zeros(0, np.int64)
-    nothing = n_words, (none, none, none, none), (none, none)
-    if not len(hashes) or not len(p.lengths):
+    items: dict[int, set] = {}
+    nothing = n_words, (none, none, none, none), items
+    vocab = held.vocab.value
+    if not len(hashes) or not len(vocab):
         return nothing
-    at = np.minimum(np.searchsorted(p.vocab, hashes), len(p.vocab) - 1)
-    symbol = np.where(p.vocab[at] == hashes, at + 1, 0)
+    at = np.minimum(np.searchsorted(vocab, hashes), len(vocab) - 1)
+    symbol = np.where(vocab[at] == hashes, at + 1, 0)
     # runs of numbered words in one row that are as long as the shortest window
     start = np.concatenate([[True], (row[1:] != row[:-1]) | ((symbol[1:] > 0) != (symbol[:-1] > 0))])
     heads = np.flatnonzero(start)
     tails = np.append(heads[1:], len(symbol))
-    use = (symbol[heads] > 0) & (tails - heads >= p.lengths.min())
+    use = (symbol[heads] > 0) & (tails - heads >= held.shortest)
     if not use.any():
         return nothing
     word, run = ranges(heads[use], tails[use])
@@ -189,96 +205,77 @@ def scan_shard(p: Phrases, data: np.ndarray, offs: np.ndarray):
     text[place] = symbol[word]
     origin = np.full(len(text), -1)
     origin[place] = word
-    index = FmIndex(text, len(p.vocab))
-    lo, hi = index.search(p.windows, p.lengths)
-    rows, which = ranges(lo, hi)
-    if not len(rows):
-        return nothing
-    first = origin[index.locate(rows)]
+    index = FmIndex(text, len(vocab))
     cover = np.zeros(len(symbol) + 1, np.int64)
-    np.add.at(cover, first, 1)
-    np.add.at(cover, first + p.lengths[which], -1)
+    for p in held.phrases():
+        lo, hi = index.search(p.windows, p.lengths)
+        rows, which = ranges(lo, hi)
+        if not len(rows):
+            continue
+        first = origin[index.locate(rows)]
+        np.add.at(cover, first, 1)
+        np.add.at(cover, first + p.lengths[which], -1)
+        pair = np.unique(row[first] * len(p.lengths) + which)
+        item, owner = ranges(p.owned[pair % len(p.lengths)], p.owned[pair % len(p.lengths) + 1])
+        both = np.unique((pair // len(p.lengths))[owner] * len(p.names) + p.owners[item])
+        for r, k in zip((both // len(p.names)).tolist(), (both % len(p.names)).tolist()):
+            items.setdefault(r, set()).add(p.names[k])
     hit = np.cumsum(cover)[:-1] > 0
     edge = np.concatenate([[True], (hit[1:] != hit[:-1]) | (row[1:] != row[:-1])])
     a = np.flatnonzero(edge)
     b = np.append(a[1:], len(hit))
     keep = hit[a]
     a, b = a[keep], b[keep]
-    pair = np.unique(row[first] * len(p.lengths) + which)
-    item, owner = ranges(p.owned[pair % len(p.lengths)], p.owned[pair % len(p.lengths) + 1])
-    both = np.unique((pair // len(p.lengths))[owner] * len(p.names) + p.owners[item])
-    return n_words, (row[a], begin[a], end[b - 1], b - a), (both // len(p.names), both % len(p.names))
-
-
-def _blocks(benchmark: DataFrame) -> list[Phrases]:
-    """The benchmark's windows, in blocks of a bounded size."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = int(size // BLOCK_BYTES + 1)
-    if n == 1:
-        yield Phrases([(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()])
-        return
-    for k in range(n * 2):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", F.lit(3)), F.lit(n * 2)) == k)
-        yield Phrases([(r[0], r[1]) for r in part.select("item_id", "text").collect()])
+    return n_words, (row[a], begin[a], end[b - 1], b - a), items
+
+
+def hold(benchmark: DataFrame) -> Held:
+    """Read the benchmark, a block of bounded size at a time, and send its words and windows out."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("name"), "text").where("text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = int(-(-size // BLOCK_BYTES)) or 1
+    found = []
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64("name", F.lit(3)), F.lit(n)) == k).toArrow()
+        hashes, row, *_ = words_of(*text_buffers(part.column("text")))
+        found.append((part.column("name").to_pylist(), hashes, row))
+    vocab = np.unique(np.concatenate([h for _, h, _ in found]))
+    shortest = WINDOW
+    blocks = []
+    for k, (names, hashes, row) in enumerate(found):
+        p = Phrases(names, np.searchsorted(vocab, hashes).astype(np.int32) + 1, row)
+        found[k] = None
+        if len(p.lengths):
+            shortest = min(shortest, int(p.lengths.min()))
+            blocks.append(spark.sparkContext.broadcast(p))
+    return Held(spark.sparkContext.broadcast(vocab), shortest, blocks)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_words, n_hit, spans (words and bytes), items (sorted)."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    schema = "doc_id long, n_words long, n_hit long, begins array<long>, ends array<long>, items array<string>"
-    parts = []
-    for phrases in _blocks(benchmark):
-        held = spark.sparkContext.broadcast(phrases)
-
-        def run(batches, held=held):
-            p = held.value
-            for part, data, offs in slices(batches, "text", 4 << 20):
-                n = part.num_rows
-                n_words, (row, begin, end, size), (owner, item) = scan_shard(p, data, offs)
-                cut, own = np.searchsorted(row, np.arange(n + 1)), np.searchsorted(owner, np.arange(n + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").cast(pa.int64()),
-                        pa.array(n_words.astype(np.int64)),
-                        pa.array(np.bincount(row, size, n).astype(np.int64)),
-                        pa.ListArray.from_arrays(cut.astype(np.int32), (begin - offs[row]).astype(np.int64)),
-                        pa.ListArray.from_arrays(cut.astype(np.int32), (end - offs[row]).astype(np.int64)),
-                        pa.ListArray.from_arrays(own.astype(np.int32), pa.array(p.names[item].tolist(), pa.string())),
-                    ],
-                    ["doc_id", "n_words", "n_hit", "begins", "ends", "items"],
-                )
-
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
-    if len(parts) == 1:
-        return parts[0]
-    # more blocks than one: the spans of a document are merged again
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
-    found = every.where("n_hit > 0").groupBy("doc_id").agg(
-        F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
-
-    def merge(batches):
-        for part, data, offs in slices(batches, "text", 4 << 20):
-            hashes, row, begin, end = words_of(data, offs)
-            out = []
-            for k, (b, e) in enumerate(zip(part.column("begins").to_pylist(), part.column("ends").to_pylist())):
-                mine = slice(*np.searchsorted(row, [k, k + 1]))
-                cover = np.zeros(mine.stop - mine.start + 1, np.int64)
-                np.add.at(cover, np.searchsorted(begin[mine] - offs[k], np.array(b or [], np.int64)), 1)
-                np.add.at(cover, np.searchsorted(end[mine] - offs[k], np.array(e or [], np.int64)) + 1, -1)
-                hit = np.cumsum(cover)[:-1] > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-                out.append({"n_words": len(hit), "n_hit": int(hit.sum()), "begins": (begin[mine][edge[::2]] - offs[k]).tolist(), "ends": (end[mine][edge[1::2] - 1] - offs[k]).tolist()})
+    """docs (doc_id, text) -> doc_id, n_words, n_hit, spans (words and bytes), items (sorted, null first)."""
+    arrow_batches(docs.sparkSession)
+    held = hold(benchmark)
+
+    def run(batches):
+        for part, data, offs in slices(batches, "text", SHARD_BYTES):
+            n = part.num_rows
+            n_words, (row, begin, end, size), items = scan_shard(held, data, offs)
+            cut = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+            names = [sorted(items.get(k, ()), key=lambda x: (x is not None, x)) for k in range(n)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64())] + [pa.array([x[c] for x in out], pa.int64() if c[0] == "n" else pa.list_(pa.int64())) for c in ("n_words", "n_hit", "begins", "ends")] + [part.column("items")],
+                [
+                    part.column("doc_id").cast(pa.int64()),
+                    pa.array(n_words.astype(np.int64)),
+                    pa.array(np.bincount(row, size, n).astype(np.int64)),
+                    pa.ListArray.from_arrays(cut, (begin - offs[row]).astype(np.int64)),
+                    pa.ListArray.from_arrays(cut, (end - offs[row]).astype(np.int64)),
+                    pa.array(names, pa.list_(pa.string())),
+                ],
                 ["doc_id", "n_words", "n_hit", "begins", "ends", "items"],
             )
 
-    joined = docs.select("doc_id", "text").join(found, "doc_id", "left")
-    return joined.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).mapInArrow(merge, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, begins array<long>, ends array<long>, items array<string>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -299,38 +296,41 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     What is left is searched again until no window occurs, as a cut can bring the two
     ends of another occurrence together. All columns are kept; ``n_chars`` is renewed.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    schema = docs.schema
-    out = docs
-    for phrases in _blocks(benchmark):
-        held = spark.sparkContext.broadcast(phrases)
-
-        def run(batches, held=held):
-            p = held.value
-            for part, data, offs in slices(batches, "text", 4 << 20):
-                n_words, (row, begin, end, _), _ = scan_shard(p, data, offs)
-                if not len(row):
-                    yield part
-                    continue
-                texts, keep = part.column("text").to_pylist(), np.ones(part.num_rows, bool)
-                for k in np.unique(row):
-                    mine = row == k
-                    left = cut_out(texts[k].encode(), begin[mine] - offs[k], end[mine] - offs[k])
-                    while True:
-                        words, (again, b, e, _), _ = scan_shard(p, np.frombuffer(left, np.uint8), np.array([0, len(left)]))
-                        if not len(again):
-                            break
-                        left = cut_out(left, b, e)
-                    texts[k], keep[k] = left.decode(), bool(words[0])
-                columns = dict(zip(part.schema.names, part.columns))
-                columns["text"] = pa.array(texts, part.schema.field("text").type)
-                if "n_chars" in columns:
-                    columns["n_chars"] = pa.array([len(t) if t is not None else 0 for t in texts], part.schema.field("n_chars").type)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(pa.array(keep))
-
-        out = out.mapInArrow(run, schema)
-    return out
+    arrow_batches(docs.sparkSession)
+    held = hold(benchmark)
+    # columns by their place: any names will do
+    place = {c: k for k, c in enumerate(docs.columns)}
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    text = f"c{place['text']}"
+
+    def run(batches):
+        for part, data, offs in slices(batches, text, SHARD_BYTES):
+            _, (row, begin, end, _), _ = scan_shard(held, data, offs)
+            if not len(row):
+                yield part
+                continue
+            texts, keep = part.column(text).to_pylist(), np.ones(part.num_rows, bool)
+            cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+            for k in np.unique(row).tolist():
+                mine = slice(cut[k], cut[k + 1])
+                left = cut_out(data[offs[k] : offs[k + 1]].tobytes(), begin[mine] - offs[k], end[mine] - offs[k])
+                while True:
+                    words, (again, b, e, _), _ = scan_shard(held, np.frombuffer(left, np.uint8), np.array([0, len(left)]))
+                    if not len(again):
+                        break
+                    left = cut_out(left, b, e)
+                texts[k], keep[k] = left.decode(), bool(words[0])
+            columns = dict(zip(part.schema.names, part.columns))
+            columns[text] = pa.array(texts, part.schema.field(text).type)
+            if "n_chars" in place:
+                chars = f"c{place['n_chars']}"
+                old = columns[chars].to_pylist()
+                for k in np.unique(row).tolist():
+                    old[k] = len(texts[k])
+                columns[chars] = pa.array(old, part.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(pa.array(keep))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def cut_out(text: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
@@ -339,4 +339,3 @@ def cut_out(text: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
         parts.append(text[at:a])
         at = b
     return b"".join([*parts, text[at:]])
-

@@ -218,7 +218,11 @@ def brute_windows(texts, length):
     return out
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("block, bucket", [(4 << 20, 48 << 20), (900, 3000)])
+def test_substring_dedup(spark, monkeypatch, block, bucket):
+    monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffixdedup, "ANCHOR_BYTES", bucket)
+    monkeypatch.setattr(suffixdedup, "CONTEXT_BYTES", bucket)
     texts = corpus() + [(70, "ab" * 200), (71, "x" + "ab" * 100), (72, "ab" * 30 + "z" * 60), (73, "z" * 49), (74, "z" * 200)]
     want = brute_windows([x for x in texts if x[0] is not None], 50)
     docs = frame(spark, texts)
@@ -226,6 +230,12 @@ def test_substring_dedup(spark):
     assert len(got) == len(texts)
     for r in got:
         assert r.doc_id is None and r.n_removed == 0 or tuple(r)[1:] == want[r.doc_id]
+    for r in suffixdedup.dedup(docs).collect():
+        text = dict(texts)[r.doc_id] or ""
+        cut, at = b"", 0
+        for x, y in zip(r.begins, r.ends):
+            cut, at = cut + text.encode()[at:x], y
+        assert bytes(r.kept) == cut + text.encode()[at:]
     assert suffixdedup.digest(docs.where("false")).count() == 0
 
 
@@ -273,12 +283,22 @@ def test_decontamination(spark):
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
-    """A benchmark larger than a block gives the same spans."""
-    bench = spark.createDataFrame([(i, t) for i, t in corpus()[:20] if t], "item_id long, text string")
-    docs = frame(spark, [x for x in corpus() if x[0] is not None and x[0] != 7])
-    whole = sorted(map(tuple, decontam.digest(decontam.scan(docs, bench)).collect()))
+    """However the benchmark and the documents are cut, spans are the same; rows with a null or repeated id are each for itself."""
+    bench = spark.createDataFrame([(i if i != 9 else None, t) for i, t in corpus()[:20] if t] + [(3, "One two"), (None, "one")], "item_id long, text string")
+    docs = frame(spark, corpus())
+    whole = sorted(map(repr, decontam.scan(docs, bench).collect()))
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)
-    assert sorted(map(tuple, decontam.digest(decontam.scan(docs, bench)).collect())) == whole
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 3000)
+    assert sorted(map(repr, decontam.scan(docs, bench).collect())) == whole
+    assert len({r.n_hit for r in decontam.scan(docs, bench).where("doc_id = 7").collect()}) == 1 and decontam.scan(docs, bench).where("doc_id IS NULL AND n_hit > 0").count() == 1
+
+
+def test_items_without_an_id(spark):
+    """They count as one item without a name, as in SQL."""
+    bench = spark.createDataFrame([(None, "one two"), (None, "two three"), (5, "one two")], "item_id long, text string")
+    row = decontam.digest(decontam.scan(frame(spark, [(1, "one two three four")]), bench)).first()
+    assert (row.n_hit, row.n_items, row.items_sha256) == (3, 2, hashlib.sha256(b"5").hexdigest())
+    assert decontam.scan(frame(spark, []), bench).count() == 0
 
 
 def test_fm_index_counts_and_locates():
