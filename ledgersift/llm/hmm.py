@@ -127,16 +127,16 @@ class Sequences:
         self.n = len(sizes)
 
 
-def forward(m: dict, q: Sequences) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled state distributions, and the scale (the token's likelihood given those before)."""
-    alpha = np.empty((len(q.kinds), len(m["start"])), np.float32)
-    scale = np.empty(len(q.kinds), np.float32)
-    emit = np.ascontiguousarray(m["emit"].T, np.float32)
-    move = m["move"].astype(np.float32)
+def forward(m: dict, q: Sequences, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled state distributions, and the scale (the token's likelihood given those before); in single precision to train, in double to score."""
+    alpha = np.empty((len(q.kinds), len(m["start"])), kind)
+    scale = np.empty(len(q.kinds), kind)
+    emit = np.ascontiguousarray(m["emit"].T, kind)
+    move, start = m["move"].astype(kind), m["start"].astype(kind)
     for t in range(len(q.active)):
         a, n = q.base[t], q.active[t]
         b = emit[q.kinds[a : a + n]]
-        b *= m["start"].astype(np.float32) if t == 0 else alpha[q.base[t - 1] : q.base[t - 1] + n] @ move
+        b *= start if t == 0 else alpha[q.base[t - 1] : q.base[t - 1] + n] @ move
         c = b.sum(axis=1)
         scale[a : a + n] = c
         b /= c[:, None]
@@ -261,12 +261,13 @@ def _pieces(buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 hashes, counts, kinds = (np.frombuffer(row[c], t) for c, t in (("hashes", np.uint64), ("counts", np.int64), ("kinds", np.uint16)))
-                cut = np.searchsorted(_bucket_of(hashes, buckets), np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cut))
+                # hashes are in order, and so are their buckets
+                full, cut = np.unique(_bucket_of(hashes, buckets), return_index=True)
+                cut = np.append(cut, len(hashes))
                 for at in range(0, len(full), 256):
-                    some = full[at : at + 256]
+                    some = range(at, min(at + 256, len(full)))
                     yield pa.RecordBatch.from_pydict(
-                        {"bucket": some, "block": np.full(len(some), row["block"])} | {c: [v[cut[k] : cut[k + 1]].tobytes() for k in some] for c, v in (("hashes", hashes), ("counts", counts), ("kinds", kinds))},
+                        {"bucket": full[some.start : some.stop], "block": np.full(len(some), row["block"])} | {c: [v[cut[k] : cut[k + 1]].tobytes() for k in some] for c, v in (("hashes", hashes), ("counts", counts), ("kinds", kinds))},
                         pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("kinds", pa.binary())]),
                     )
 
@@ -330,8 +331,8 @@ def score(docs: DataFrame, p: Hmm = Hmm()) -> DataFrame:
             base = np.log10((counts + 1) / (tokens.sum() + words.sum() + 1))
             given = np.log10((counts + 1) / (tokens[kinds] + words[kinds] + 1))
             q = Sequences(kinds[codes], sizes)
-            _, scale = forward(m, q)
-            total = np.bincount(text, given[codes], len(sizes)) + np.bincount(q.text, np.log10(scale.astype(np.float64)), len(sizes))
+            _, scale = forward(m, q, np.float64)
+            total = np.bincount(text, given[codes], len(sizes)) + np.bincount(q.text, np.log10(scale), len(sizes))
             parts.append(
                 pd.DataFrame(
                     {
