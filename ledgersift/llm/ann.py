@@ -44,10 +44,24 @@ class Lists:
     seed: int = 9
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that no square overflows or vanishes: a cosine stays as it is, to the bit."""
+    most = np.abs(x).max(axis=1, initial=0, keepdims=True)
+    return np.ldexp(x, -np.frexp(most)[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def stacked(column: pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
 def balanced_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     """Unit centroids; a list that is too long looks farther away, more so each round."""
     rng = np.random.default_rng(seed)
@@ -179,8 +193,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_i
 def _search_one(spark, scratch: Scratch, rows: DataFrame, every: int, k: int, p: Lists) -> DataFrame:
     base = scratch.put(_distinct(rows, k + 1), "distinct")
     n = base.count()
-    picked = base.select("v").orderBy(F.xxhash64("cid", F.lit(p.seed)), "cid").limit(p.sample).collect()
-    x = unit(np.array([r.v for r in picked], np.float64))
+    x = unit(stacked(base.select("v").orderBy(F.xxhash64("cid", F.lit(p.seed)), "cid").limit(p.sample).toArrow().column("v")))
     lists = int(min(p.max_lists, max(1, round(np.sqrt(n) * 1.5)), max(1, len(x) // 8)))
     graph = CentroidGraph(balanced_kmeans(x, lists, p.seed), p.degree)
     held = spark.sparkContext.broadcast(graph)
@@ -188,7 +201,7 @@ def _search_one(spark, scratch: Scratch, rows: DataFrame, every: int, k: int, p:
     def post(batches):
         g = held.value
         for batch in batches:
-            v = np.array(batch.column("v").to_pylist(), np.float64)
+            v = stacked(batch.column("v"))
             if not len(v):
                 continue
             ids, cos = g.search(unit(v).astype(np.float32), max(16, p.copies))
@@ -209,7 +222,7 @@ def _search_one(spark, scratch: Scratch, rows: DataFrame, every: int, k: int, p:
     def probe(batches):
         g, sizes = held.value, sized.value
         for batch in batches:
-            v = np.array(batch.column("v").to_pylist(), np.float64)
+            v = stacked(batch.column("v"))
             if not len(v):
                 continue
             ids, cos = g.search(unit(v).astype(np.float32), p.probes)
@@ -237,7 +250,7 @@ def _search_one(spark, scratch: Scratch, rows: DataFrame, every: int, k: int, p:
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"qid": [], "cid": [], "score": []})
-        x, q = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        x, q = scaled(np.stack(a["v"].to_numpy())), scaled(np.stack(b["v"].to_numpy()))
         cid, qid = a["cid"].to_numpy(), b["qid"].to_numpy()
         ux, out = unit(x), []
         nx = np.linalg.norm(x, axis=1)

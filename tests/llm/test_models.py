@@ -1,5 +1,6 @@
 """Classifiers, language model, neighbours, pages: small tables, against brute force."""
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -88,6 +89,51 @@ def test_network_gradients():
         assert grad[name][at] == pytest.approx((loss[0] - loss[1]) / (2 * eps), abs=2e-4)
 
 
+def test_segment_sums_are_those_of_the_network():
+    """The fast path over segments of one length, against the plain network."""
+    rng = np.random.default_rng(1)
+    m = langid.new_model(5, 4, 3, rng)
+    data = rng.integers(32, 127, 400).astype(np.uint8)
+    begin, length, _ = langid.segments(data, np.array([0, 150, 150, 400]))
+    p, mask = langid.forward(m, langid.padded(data, begin, length), length)
+    assert langid.segment_sums(m, data, begin, length) == pytest.approx((p * mask[..., None]).sum(axis=1), abs=1e-4)
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(2)), np.sort(rng.choice(16, 4, replace=False)).astype("<i4"), rng.integers(1, 4, 4).astype("<i4")) for _ in range(30)]
+    p = quality.Ftrl(bits=4, epochs=3, l1=0.01)
+    w, bias = quality._ftrl(rows, p)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= p.l1:
+            return 0.0
+        return -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    order = sorted(rows, key=lambda r: (r[1].tobytes(), r[2].tobytes(), r[0]))
+    draw = np.random.default_rng(p.seed)
+    for _ in range(p.epochs):
+        for k in draw.permutation(len(order)):
+            y, slots, counts = order[k]
+            norm = math.sqrt(sum(int(c) ** 2 for c in counts))
+            x = {int(s): int(c) / norm for s, c in zip(slots, counts)} | {16: 1.0}
+            error = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items()))) - y
+            for i, v in x.items():
+                g, old = error * v, weight(i)
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha * old
+                n[i] += g * g
+    assert w == pytest.approx([weight(i) for i in range(16)], abs=1e-5) and bias == pytest.approx(weight(16))
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score(none, quality.fit(none, labels, F.lit(True))).count() == 0
+    assert langid.predict(none, langid.fit(none, F.lit(True)), "held_out").count() == 0
+    assert wrapper.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_quality(spark):
     rows = [(i, words(20, EN, i) if i % 3 else words(20, EN, i).upper() + "!!", "en", "s", 1.0, i % 5 == 0) for i in range(150)]
     docs = spark.createDataFrame(rows + corpus()[-6:], DOCS)
@@ -119,6 +165,37 @@ def test_hmm_against_counts(spark):
     assert hmm.score(docs.where("false")).count() == 0
 
 
+def test_hmm_score_against_all_paths(spark):
+    """The score is the sum over all paths of states, each word emitted by its class."""
+    rows = [(i, t, None, None, None, held) for i, (t, held) in enumerate([("the of", False), ("and THE the", False), ("of of that", False), ("the new of", True), ("", True), ("and", False)])]
+    docs = spark.createDataFrame(rows, DOCS)
+    p = hmm.Hmm(states=2, classes=8)
+    got = {r.doc_id: r.score for r in hmm.score(docs, p).collect()}
+    source = docs.select("doc_id", "text", "held_out")
+    m = hmm.train(common.Scratch(spark).put(source.mapInArrow(hmm._encode(p.classes), hmm._BLOCK_DDL), "blocks"), p)
+
+    def kinds(text):
+        x = hmm.encode_block(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), np.ones(1), p.classes)
+        return x["kinds"][x["codes"]].tolist()
+
+    count, kind = Counter(), {}
+    for _, t, _, _, _, held in rows:
+        for w, k in zip([*t.lower().split(), None], kinds(t)):
+            kind[w] = k
+            count[w] += not held
+    tokens, words = Counter(), Counter()
+    for w, c in count.items():
+        tokens[kind[w]] += c
+        words[kind[w]] += c > 0
+    for i, t, *_ in rows:
+        seq = kinds(t)
+        paths = sum(
+            math.prod([m["start"][s[0]], *(m["move"][a, b] for a, b in zip(s, s[1:])), *(m["emit"][x, k] for x, k in zip(s, seq))]) for s in itertools.product(range(2), repeat=len(seq))
+        )
+        given = math.prod((count[w] + 1) / (tokens[kind[w]] + words[kind[w]] + 1) for w in [*t.lower().split(), None])
+        assert got[i] == pytest.approx(math.log10(paths * given), abs=1e-9)
+
+
 def test_hmm_learns_from_all_blocks(spark):
     """A first block of held-out rows only: the states are those of the training texts of all blocks."""
     rows = [(i, words(40, EN if i % 2 else DE, i), None, None, 1.0, i < 100 or i % 5 == 0) for i in range(400)]
@@ -187,6 +264,14 @@ def test_nearest_ties_of_different_vectors(spark):
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
 
 
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    """Squares of finite components may overflow or vanish: the cosine doesn't."""
+    rows = [(0, [1e200, 1e200, 1.0]), (1, [1e200, 1e200, 2.0]), (2, [1e-200, 1e-200, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [-1e300, -1e300, 0.0]), (5, [float("inf"), 0.0, 0.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 3), (0, 4)]
+    assert [r.score for r in got] == pytest.approx([1, 1, math.sqrt(0.5), -1])
+
+
 PAGE = '<html><head><title>t</title></head><body><nav><a href=/>m{0}</a></nav><div class="ad">buy {0}</div><div id=main><div class=post><h1>Title {0}</h1><p>Body &amp; text {0} of some length here, more<br>words<p>second {0} which goes on for a while, as paragraphs of articles do, with {0} in it<div class=share>Share</div><p>{1}</div><div class="comments"><p>nice {0} comment that goes on</div></div><footer>f {0}</footer><scr'
 
 
