@@ -14,6 +14,7 @@ class Code(StrEnum):
     WRONG_COLUMN_TYPE = "WRONG_COLUMN_TYPE"
     NOT_IMPLEMENTED = "NOT_IMPLEMENTED"
     BAD_CONFIGURATION = "BAD_CONFIGURATION"
+    TABLE_TOO_LARGE = "TABLE_TOO_LARGE"
     STATEMENT_TIMEOUT = "STATEMENT_TIMEOUT"
     LOCK_TIMEOUT = "LOCK_TIMEOUT"  # reserved: files that never change take no locks
     DATABASE_ERROR = "DATABASE_ERROR"

@@ -62,7 +62,7 @@ class EvidenceStore:
         """Links of all rows (one column of encoded keys), written where they are; none is collected."""
         links = keys.toDF("key_value").select(F.lit(finding_id).alias("finding_id"), F.lit(key_column).alias("key_column"), "key_value")
         links.write.mode("append").parquet(self.path("evidence_links"))
-        return self.read("evidence_links").where(F.col("finding_id") == finding_id).count()
+        return self.read("evidence_links").where((F.col("finding_id") == finding_id) & (F.col("key_column") == key_column)).count()
 
     def audit(self, event: str, actor: str = "engine", **payload) -> None:
         self.append("audit_log", {"at": now(), "event": event, "actor": actor, "payload_json": json.dumps(payload, default=str, ensure_ascii=False)})

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import IntegralType, NumericType, StringType
 
 from ..codes import Code, Refusal
 from ..functions import PATTERNS, half_width, number
@@ -67,10 +67,12 @@ def _facts(df: DataFrame, name: str, i: int) -> list[Column]:
     return [v.alias(f"{i}:{k}") for k, v in out.items()]
 
 
-def scan(df: DataFrame, columns: Iterable[str] | None = None) -> dict[str, dict]:
-    """One aggregation for every ``BATCH`` columns; then derived shares."""
+def scan(df: DataFrame, columns: Iterable[str] | None = None, limit: int | None = None, allow_large: bool = False) -> dict[str, dict]:
+    """One aggregation for every ``BATCH`` columns; then derived shares. With a limit, a larger table is refused before any scan."""
     names = list(columns if columns is not None else df.columns)
     need_columns(df, names)
+    if limit is not None and not size_gate(df, limit, allow_large):
+        raise Refusal(Code.TABLE_TOO_LARGE, f"about {estimated_rows(df)} rows; allow a large profile to go on")
     out: dict[str, dict] = {}
     for at in range(0, len(names), BATCH):
         part = names[at : at + BATCH]
@@ -107,13 +109,18 @@ def distinct_count(df: DataFrame, name: str, estimate: int | None = None) -> int
     return df.agg(F.count_distinct(F.col(ident(name)))).first()[0]
 
 
+def value_counts(df: DataFrame, name: str, k: int = 10) -> tuple[int, float | None]:
+    """Distinct non-null values, and the share of their rows that the k most frequent hold: one job."""
+    c = F.col(ident(name))
+    counts = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n")).limit(k).agg(F.sum("n").alias("top"))
+    row = counts.agg(F.count("*").alias("distinct"), F.sum("n").alias("total")).join(F.broadcast(top)).first()  # a row and a row
+    return row.distinct, row.top / row.total if row.total else None
+
+
 def top_share(df: DataFrame, name: str, k: int = 10) -> float | None:
     """Share of the non-null rows that the k most frequent values hold."""
-    c = F.col(ident(name))
-    counts = df.where(c.isNotNull()).groupBy(c.alias("v")).count()
-    total = counts.agg(F.sum("count")).first()[0]
-    top = counts.orderBy(F.desc("count")).limit(k).agg(F.sum("count")).first()[0]
-    return top / total if total else None
+    return value_counts(df, name, k)[1]
 
 
 def is_unique(df: DataFrame, name: str) -> bool:
@@ -122,37 +129,55 @@ def is_unique(df: DataFrame, name: str) -> bool:
     return row.rows > 0 and row.n == row.rows == row.d
 
 
-def facts_for(df: DataFrame, name: str, need: set[str] | None = None) -> dict:
-    """The facts of one column; only what is needed is measured."""
-    facts = scan(df, [name])[name]
+def facts_of(df: DataFrame, names: list[str], need: set[str] | None = None) -> dict[str, dict]:
+    """The facts of some columns, in one scan; then only what is needed besides is measured, one by one."""
     need = need if need is not None else {"distinct", "top10_share", "unique"}
-    if "distinct" in need:
-        facts["distinct"] = distinct_count(df, name, facts["approx_distinct"])
-    if "top10_share" in need:
-        facts["top10_share"] = top_share(df, name)
-    if "unique" in need:
-        # estimates are off by a few per cent at most: far from it, no exact pass
-        facts["unique"] = facts["approx_distinct"] >= 0.8 * facts["rows"] and is_unique(df, name)
-    return facts
+    out = scan(df, names)
+    for name, facts in out.items():
+        if "top10_share" in need:
+            distinct, facts["top10_share"] = value_counts(df, name)
+            facts["distinct"] = distinct
+        elif "distinct" in need:
+            facts["distinct"] = distinct_count(df, name, facts["approx_distinct"])
+        if "unique" in need:
+            # estimates are off by a few per cent at most: far from it, no exact pass
+            facts["unique"] = facts["approx_distinct"] >= 0.8 * facts["rows"] and is_unique(df, name)
+    return out
+
+
+def facts_for(df: DataFrame, name: str, need: set[str] | None = None) -> dict:
+    """The facts of one column."""
+    return facts_of(df, [name], need)[name]
+
+
+def _numbers(df: DataFrame, name: str) -> dict[str, Column]:
+    """How many values are numbers, not zero, not positive, whole."""
+    c = F.col(ident(name))
+    if isinstance(df.schema[name].dataType, IntegralType):
+        x, whole = c, F.count(c)
+    else:
+        x = as_number(df, name)
+        whole = F.count(F.when(x == F.floor(x), 1))
+    return {"eligible": F.count(x), "nonzero": F.count(F.when(x != 0, 1)), "nonpositive": F.count(F.when(x <= 0, 1)), "integers": whole}
 
 
 def profile_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The basic facts as rows, one for each column, in one scan: column, rows, nulls, distinct, eligible, nonzero, nonpositive, integers."""
+    """The basic facts as rows, one for each column: column, rows, nulls, distinct, eligible, nonzero, nonpositive, integers.
+
+    All but the distinct values come from one scan. These are counted column by column, each
+    from a scan of that column alone, as several in one aggregation would multiply all rows.
+    """
     need_columns(df, columns)
-    aggs, rows = [F.count("*").alias("rows")], []
+    aggs, rows, distinct = [F.count("*").alias("rows")], [], None
     for i, n in enumerate(columns):
-        c, x = F.col(ident(n)), as_number(df, n)
-        aggs += [
-            F.sum(c.isNull().cast("long")).alias(f"nulls{i}"),
-            F.count_distinct(c).alias(f"distinct{i}"),
-            F.count(x).alias(f"eligible{i}"),
-            F.sum((x != 0).cast("long")).alias(f"nonzero{i}"),
-            F.sum((x <= 0).cast("long")).alias(f"nonpositive{i}"),
-            F.sum((x == F.floor(x)).cast("long")).alias(f"integers{i}"),
-        ]
-        names = ("nulls", "distinct", "eligible", "nonzero", "nonpositive", "integers")
-        rows.append(F.struct(F.lit(n).alias("column"), F.col("rows"), *[F.coalesce(F.col(f"{k}{i}"), F.lit(0)).cast("long").alias(k) for k in names]))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+        c = F.col(ident(n))
+        found = {"nulls": F.count(F.when(c.isNull(), 1)), **_numbers(df, n)}
+        aggs += [v.alias(f"{k}{i}") for k, v in found.items()]
+        rows.append(F.struct(F.lit(i).alias("i"), F.lit(n).alias("column"), F.col("rows"), *[F.col(f"{k}{i}").alias(k) for k in found]))
+        one = df.select(c.alias("v")).where("v IS NOT NULL").distinct().agg(F.count("*").alias("distinct")).withColumn("i", F.lit(i))
+        distinct = one if distinct is None else distinct.union(one)
+    facts = df.agg(*aggs).select(F.inline(F.array(*rows)))
+    return facts.join(F.broadcast(distinct), "i").select("column", "rows", "nulls", "distinct", "eligible", "nonzero", "nonpositive", "integers")
 
 
 def pattern_shares(df: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import identity, version
-from ..functions import decode_key, encode_key, mask_token, norm_key, norm_name, trigrams
+from ..functions import decode_key, encode_columns, mask_token, norm_key, norm_name, trigrams
 from ..operators import benford, cross, duplicate, fuzzy, profile
 
 #: Fixed secret of the masking query; a case has its own.
@@ -43,12 +43,14 @@ SUITABILITY = (("events", "value"), ("lineitem", "l_extendedprice"), ("lineitem"
 
 def benford_suitability(spark, sf_dir):
     """The facts that Benford's guard is decided on, and its verdict, of nine columns as if confirmed as amounts."""
-    rows = []
+    rows, tables = [], {}
+    for name, column in SUITABILITY:
+        tables.setdefault(name, []).append(column)
+    measured = {name: profile.facts_of(table(spark, sf_dir, name), columns, {"distinct", "top10_share"}) for name, columns in tables.items()}
     for name, column in SUITABILITY:
-        f = profile.facts_for(table(spark, sf_dir, name), column, {"distinct", "top10_share"})
+        f = measured[name][column]
         verdict = benford.RULES.assess(f | {"is_key": False, "sensitive": False, "unique": False, "words": ()})
-        reasons = [r for r in verdict.reasons]
-        rows.append((f"{name}.{column}", f["nonzero"], round(f["span"], 6), round(f["nonpositive_share"], 6), round(f["top10_share"], 6), str(verdict.verdict), ",".join(sorted(reasons))))
+        rows.append((f"{name}.{column}", f["nonzero"], round(f["span"], 6), round(f["nonpositive_share"], 6), round(f["top10_share"], 6), str(verdict.verdict), ",".join(sorted(verdict.reasons))))
     return spark.createDataFrame(rows, "column string, nonzero long, span double, nonpositive_share double, top10_share double, verdict string, reasons string")
 
 
@@ -134,7 +136,8 @@ def row_identity(spark, sf_dir):
 
 def key_encoding(spark, sf_dir):
     """Composite keys as JSON text, and back."""
-    df = table(spark, sf_dir, "lineitem").select(encode_key(F.col("l_orderkey"), F.col("l_linenumber")).alias("key")).distinct()
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    df = df.select(encode_columns(df, ["l_orderkey", "l_linenumber"]).alias("key"))
     return df.select("key", F.element_at(decode_key(F.col("key"), 2), 1).alias("first"), F.element_at(decode_key(F.col("key"), 2), 2).alias("second"))
 
 
@@ -169,7 +172,7 @@ def evidence_links(spark, sf_dir):
     """The rows behind duplicate order and line numbers, as encoded keys."""
     df = table(spark, sf_dir, "lineitem")
     rows = duplicate.flagged_rows(df, ["l_orderkey", "l_linenumber"], dup_keys(spark, sf_dir))
-    return rows.select(encode_key(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")).alias("key_value"))
+    return rows.select(encode_columns(rows, ["l_orderkey", "l_linenumber", "l_partkey"]).alias("key_value"))
 
 
 def queries() -> dict:

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from . import evidence, identity, masking, names, registry, version
 from .codes import Code, FindingClass, Refusal, Verdict
 from .contract import MethodResult, Signal, build
-from .functions import encode_key
+from .functions import encode_columns
 from .names import ident
 from .operators import benford, cross, duplicate, fuzzy, profile
 from .roles import sensitive
 from .session import StatementTimeout, limited, pinned, timeout_ms
 from .sources import Case
+from .suitability import Assessment
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,8 @@ class Outcome:
     total: int = 0
     masked_columns: tuple[str, ...] = ()
     flagged: DataFrame | None = None
+    #: Flagged rows of a second table, and its key columns.
+    other: tuple[DataFrame, list[str]] | None = None
     verdict: str | None = None
     why: tuple[str, ...] = ()
     details: dict = field(default_factory=dict)
@@ -74,6 +77,8 @@ def _benford(c: Context) -> Outcome:
         row = c.df.agg(F.count(F.col(ident(column))).alias("n"), F.count(value).alias("ok")).first()
         if row.n != row.ok:
             raise Refusal(Code.WRONG_COLUMN_TYPE, f"column {column!r} holds text that is no number")
+    if not profile.size_gate(c.df, int(c.args.get("size_limit") or profile.SIZE_GATE), bool(c.args.get("allow_large_profile"))):
+        raise Declined(Assessment(Verdict.UNSAFE_TO_RUN, ("TOO_MANY_ROWS",)))
     need = benford.RULES.facts_required()
     facts = profile.facts_for(c.df, column, need)
     words = masking.name_words(column)
@@ -149,6 +154,17 @@ def _cross(c: Context) -> Outcome:
         amounts = (names.col(c.df, c.args["amount"]), names.col(right, c.args["right_amount"]))
     row = cross.reconcile(c.df, [column], right, [right_column], amounts, float(c.args.get("tolerance") or 0.01)).first()
     missing = cross.only_left(c.df, [column], right, [right_column])
+    gap = cross.unmatched(c.df, [column], right, [right_column], amounts, float(c.args.get("tolerance") or 0.01))
+    back = cross.unmatched(right, [right_column], c.df, [column], amounts and amounts[::-1], float(c.args.get("tolerance") or 0.01))
+    here, there = row.only_left + row.differing, row.only_right + row.differing
+    other = None
+    if there:
+        # rows of the other table can be linked if it has an identity; else its keys stand for them
+        try:
+            keys = identity.resolve(right, c.case.declared_key(right_table, c.args.get("right_schema") or "source"))
+            other = (duplicate.flagged_rows(right, [right_column], back), keys)
+        except Refusal:
+            other = (back.select(F.col("key").alias(right_column)), [right_column])
     top = _top(missing, "n")
     gaps = row.only_left + row.only_right + row.differing
     safe = all(masking.harmless(d, k) for d, k in ((c.df, column), (right, right_column)))  # both, or neither
@@ -160,7 +176,8 @@ def _cross(c: Context) -> Outcome:
         [(r.key, {"n": int(r.n)}, min(1.0, row.only_left / max(1, row.left_keys))) for r in top],
         int(row.only_left),
         (column,) if safe else (column, ""),
-        duplicate.flagged_rows(c.df, [column], missing) if row.only_left else None,
+        duplicate.flagged_rows(c.df, [column], gap) if here else None,
+        other,
     )
 
 
@@ -229,9 +246,15 @@ def _run(case, method, table, schema, confirmed_by, allow_unsuitable, reveal, ms
     params = {k: str(v) for k, v in args.items() if v is not None}
     start = {"run_id": run, "dataset_version": dataset, "method": spec.name, "method_version": spec.version, "params": params, "at": evidence.now()}
     store.audit("started", run=run, method=pointer, table=table)
+    finding, links = evidence.new_id("finding"), 0
     try:
         with limited(spark, ms):
             out = _custom(spec, context) if spec.name.startswith("custom:") else spec.run(context)
+            if out.flagged is not None:
+                links = store.append_links(finding, identity.encoded_columns(keys), out.flagged.select(encode_columns(out.flagged, keys)))
+            if out.other is not None:
+                rows, its = out.other
+                links += store.append_links(finding, f"{args.get('right_schema') or 'source'}.{args['right_table']}:{identity.encoded_columns(its)}", rows.select(encode_columns(rows, its)))
     except Declined as d:
         a = d.assessment
         store.audit("declined", run=run, method=pointer, verdict=str(a.verdict), why=list(a.reasons), unvalidated=list(a.unvalidated))
@@ -244,10 +267,6 @@ def _run(case, method, table, schema, confirmed_by, allow_unsuitable, reveal, ms
         return _failed(store, method, run, Code.DATABASE_ERROR, e)
     except Exception as e:
         return _failed(store, method, run, Code.TEST_ERROR, e)
-    finding = evidence.new_id("finding")
-    links = 0
-    if out.flagged is not None:
-        links = store.append_links(finding, identity.encoded_columns(keys), out.flagged.select(encode_key(*[F.col(ident(k)) for k in keys])))
     found = {"finding_id": finding, "run_id": run, "class": str(out.finding_class), "summary": out.summary, "metrics": {k: float(v) for k, v in out.metrics.items()}, "details_json": json.dumps(out.details), "at": evidence.now()}
     store.append("findings", found)
     store.append("test_runs", start | {"query_text": pointer, "status": "completed"})

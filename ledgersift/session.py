@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -56,37 +57,46 @@ class StatementTimeout(Exception):
 
 @contextmanager
 def limited(spark: SparkSession, ms: int):
-    """Jobs of this thread are cancelled after so many milliseconds; then StatementTimeout is raised."""
+    """Jobs of this thread are cancelled after so many milliseconds, those that start later too; then StatementTimeout is raised."""
     if not ms:
         yield
         return
-    sc, tag, fired = spark.sparkContext, f"limit-{uuid.uuid4().hex}", threading.Event()
+    sc, tag = spark.sparkContext, f"limit-{uuid.uuid4().hex}"
+    fired, left = threading.Event(), threading.Event()
 
-    def cancel() -> None:
+    def watch() -> None:
+        if left.wait(ms / 1000):
+            return
         fired.set()
-        sc.cancelJobsWithTag(tag)
+        while not left.wait(0.1):
+            sc.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(ms / 1000, cancel)
-    timer.daemon = True
+    watcher = threading.Thread(target=watch, daemon=True)
     sc.addJobTag(tag)
-    timer.start()
+    watcher.start()
     try:
         yield
     except Exception as e:
         if fired.is_set():
             raise StatementTimeout(f"took over {ms} ms") from e
         raise
+    else:
+        if fired.is_set():
+            raise StatementTimeout(f"took over {ms} ms")
     finally:
-        timer.cancel()
+        left.set()
+        watcher.join()
         sc.removeJobTag(tag)
 
 
 class Stage:
-    """Tables written on the way to the cluster's shared folder, ``spark.checkpoint.dir``; a folder of this machine only where that is unset."""
+    """Tables written on the way to the cluster's shared folder, ``spark.checkpoint.dir``; a folder of this machine only where that is unset and all of Spark runs here."""
 
     def __init__(self, spark: SparkSession) -> None:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise Refusal(Code.BAD_CONFIGURATION, "spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="stage-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.root = spark, f"{root.rstrip('/')}/{uuid.uuid4().hex}"

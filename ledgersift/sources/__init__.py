@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..codes import Code, Refusal
-from ..evidence import EvidenceStore
+from ..evidence import SCHEMAS, EvidenceStore
 from ..identity import ROW_NO
 from ..names import check_name
 from ..version import fingerprint, layout
@@ -71,10 +72,33 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def verify_store(case: Case) -> dict[str, bool]:
-    """What is promised of the evidence store: its tables are there, and it only appends."""
-    tables = all(_exists(case.spark, case.evidence.path(t)) for t in ("datasets", "test_runs", "findings", "evidence_links", "audit_log"))
-    verbs = {"update", "delete", "overwrite", "drop", "truncate"}
-    return {"tables": tables, "append_only": not any(v in name for name in dir(case.evidence) for v in verbs)}
+    """What is promised of the evidence store, tried out: its tables are there, an append adds a row and changes no file, and a run without its last row is not seen.
+
+    ``locked``: whether the folder refuses to delete or replace a written file, which only its
+    permissions can; a probe file of this check is what is tried.
+    """
+    spark, store = case.spark, case.evidence
+    tables = all(_exists(spark, store.path(t)) for t in SCHEMAS)
+    if not tables:
+        return {"tables": False, "append_only": False, "locked": False}
+
+    def files() -> dict[str, tuple[int, int]]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(store.path("audit_log"))
+        found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+        return {str(f.getPath().getName()): (f.getLen(), f.getModificationTime()) for f in found if str(f.getPath().getName()).startswith("part-")}
+
+    before, rows = files(), store.read("audit_log").count()
+    store.audit("verified")
+    after = files()
+    kept = all(after.get(k) == v for k, v in before.items()) and len(after) > len(before) and store.read("audit_log").count() == rows + 1
+    probe = f"{store.root}/probe-{uuid.uuid4().hex}"
+    _write_text(spark, probe, "x")
+    p = spark._jvm.org.apache.hadoop.fs.Path(probe)
+    try:
+        locked = not p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+    except Exception:  # refused by the file system
+        locked = True
+    return {"tables": tables, "append_only": kept, "locked": locked}
 
 
 def with_row_numbers(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -106,30 +130,43 @@ def read_text_table(spark: SparkSession, path: str, delimiter: str = ",") -> Dat
     return spark.read.options(**options).schema(schema).csv(path)
 
 
-def ingest(case: Case, path: str, table: str, delimiter: str = ",") -> dict:
-    """Text file -> source table with ``_row_no``; returns the manifest, which is written beside it too."""
-    df = read_text_table(case.spark, path, delimiter)
-    blank = [F.when(F.col(f"`{c}`") == "", None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns]
-    # one pass over a file whose lines may go on: Spark reads it in one task, in order
-    numbered = df.select(*blank).withColumn(ROW_NO, F.monotonically_increasing_id() + 1).coalesce(1) if df.rdd.getNumPartitions() == 1 else with_row_numbers(df.select(*blank), df.columns)
+def ingest(case: Case, path: str, table: str, delimiter: str = ",", sheet: str | None = None) -> dict:
+    """Text file or workbook -> source table with ``_row_no``; returns the manifest, which is written beside it too."""
+    if path.lower().endswith((".xlsx", ".xlsm")):
+        numbered = read_excel(case.spark, path, sheet)
+    else:
+        df = read_text_table(case.spark, path, delimiter)
+        blank = [F.when(F.col(f"`{c}`") == "", None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns]
+        # one pass over a file whose lines may go on: Spark reads it in one task, in order
+        numbered = df.select(*blank).withColumn(ROW_NO, F.monotonically_increasing_id() + 1).coalesce(1) if df.rdd.getNumPartitions() == 1 else with_row_numbers(df.select(*blank), df.columns)
+    names = [c for c in numbered.columns if c != ROW_NO]
     numbered.write.mode("errorifexists").parquet(case.source(table))
     stored = case.table(table)
-    manifest = {"table": table, "rows": stored.count(), "columns": df.columns, "layout": layout(stored), "fingerprint": fingerprint(stored)}
+    manifest = {"table": table, "rows": stored.count(), "columns": names, "layout": layout(stored), "fingerprint": fingerprint(stored)}
     _write_text(case.spark, f"{case.root}/manifest/{table}.json", json.dumps(manifest, ensure_ascii=False))
     return manifest
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A workbook, all cells as text. Needs openpyxl, which is optional."""
-    try:
-        import openpyxl
-    except ImportError:
-        raise Refusal(Code.NOT_IMPLEMENTED, "workbooks need openpyxl; save the sheet as CSV") from None
-    book = openpyxl.load_workbook(path, read_only=True, data_only=True)
-    rows = book[sheet or book.sheetnames[0]].iter_rows(values_only=True)
-    names = [check_name(str(n)) for n in next(rows)]
-    schema = StructType([StructField(n, StringType()) for n in names])
-    return spark.createDataFrame([tuple(None if v is None or v == "" else str(v) for v in r) for r in rows], schema)
+    """A sheet of a workbook, all cells as text, blank ones null, with ``_row_no``. A task reads it; no row comes to the driver but the header."""
+    from . import workbook
+
+    def parsed(head_only: bool):
+        def run(batches):
+            for batch in batches:
+                for data in batch.column("content"):
+                    yield from workbook.batches(data.as_py(), sheet, head_only)
+
+        return run
+
+    book = spark.read.format("binaryFile").load(path).select("content")
+    schema = f"cells array<string>, {ROW_NO} long"
+    head = book.mapInArrow(parsed(True), schema).first()
+    if head is None:
+        raise Refusal(Code.NO_SUCH_TABLE, "the sheet is empty or does not exist")
+    names = [check_name(n or "") for n in head.cells]
+    rows = book.mapInArrow(parsed(False), schema)
+    return rows.select(*[F.get("cells", i).alias(n) for i, n in enumerate(names)], ROW_NO)
 
 
 def read_jdbc(spark: SparkSession, url: str, schema: str, table: str, partition_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 32, **options: str) -> DataFrame:

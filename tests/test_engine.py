@@ -217,7 +217,7 @@ def test_timeout_cancels(spark):
 
 
 def test_store_only_appends(case):
-    assert verify_store(case) == {"tables": True, "append_only": True}
+    assert verify_store(case) == {"tables": True, "append_only": True, "locked": False}
 
 
 def test_no_case_is_refused(spark, monkeypatch):
