@@ -251,11 +251,11 @@ def stars(scratch: Scratch, marks: DataFrame, passes: int = 1) -> DataFrame:
 BLOCK = 1024
 
 
-def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, percent: int, rounds: int = 2, pivots: int = 4) -> DataFrame | None:
+def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, percent: int, rounds: int = 1, pivots: int = 4) -> DataFrame | None:
     """Components (id, root) of the links among members of one family; None if there is no link.
 
     pairs: (a, p) as of ``stars``: the family of p is p and all its a. data: (id, n, x), n
-    being the size of the set that ``as_set`` makes of x. All pairs of a family are decided
+    being the number of distinct elements of the array that ``as_set`` makes of x. All pairs of a family are decided
     on their full sets, or are in one component already:
 
     1. Each member is compared with p. That joins a group of like members at once.
@@ -277,12 +277,13 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
 
     links = verified(pairs)
     roots = scratch.put(components(spark, scratch, links), "roots")
-    families = scratch.put(pairs.select("p", F.col("a").alias("id")).union(pairs.select("p", F.col("p").alias("id")).distinct()), "families")
+    # pairs with p are decided by now, and so are families of two: what is left are pairs of its other members
+    families = pairs.select("p", F.col("a").alias("id"))
     for k in range(rounds + 1):
         scratch.sweep()
         at = families.join(roots, "id", "left").select("p", "id", F.coalesce("root", "id").alias("root"))
         parts = at.groupBy("p", "root").agg(F.count("*").alias("n"))
-        top = parts.groupBy("p").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+        top = parts.groupBy("p").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).where(F.col("roots") > 1)
         top = scratch.put(top.select("p", F.col("top.root").alias("main"), F.col("all").cast("long").alias("members"), (F.col("all") - F.col("top.n")).cast("long").alias("others")), "open")
         if top.isEmpty():
             break
@@ -293,7 +294,8 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
             new = at.where("root <> main").select("p", F.col("id").alias("a")).join(inside, "p").select("a", F.col("pivot").alias("p"))
             new = verified(new.distinct())
         else:
-            new = _rest(scratch, at, data.select("id", "n", as_set(F.col("x")).alias("x")), enough)
+            mine = at.groupBy("id").agg(F.collect_list("p").alias("mine"))
+            new = _rest(scratch, at, data.join(mine, "id").select("id", "n", "mine", as_set(F.col("x")).alias("x")), enough)
         if not new.isEmpty():
             edges = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(new)
             roots = scratch.put(components(spark, scratch, edges), "roots")
@@ -302,8 +304,7 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
 
 def _rest(scratch: Scratch, at: DataFrame, sets: DataFrame, enough) -> DataFrame:
     """Links (a, b) of members (p, id, root, main, members, others) outside the main component with any other of the family."""
-    mine = at.groupBy("id").agg(F.collect_list("p").alias("mine"))
-    rows = at.join(mine.join(sets, "id"), "id")
+    rows = at.join(scratch.put(sets, "sets"), "id")
     deal = lambda c, by: F.pmod(F.xxhash64("id", F.lit(by)), F.ceil(F.col(c) / BLOCK)).alias(by)
     every = lambda c, by: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / BLOCK) - 1)).alias(by)
     keep = ["id", "root", "n", "mine", "x"]

@@ -5,8 +5,8 @@
 2. A line has as its set the distinct character shingles, as 64-bit hashes; a shorter line is
    its own shingle.
 3. Signature: MinHash by one permutation. ``bands`` points lie evenly on the circle of hashes,
-   and a band is made of the ``rows`` hashes that come next after its point. Lines that share
-   a band share a bucket (``common.stars``).
+   and a band is made of the ``rows`` hashes that come next after its point (points count, and
+   nothing follows the last hash). Lines that share a band share a bucket (``common.stars``).
 4. ``common.linked_groups`` decides all pairs of a bucket, with the exact Jaccard similarity
    of both whole sets, and joins what is linked by union-find. Of each component the first
    line stays, by doc_id and then line number; the others are cut from their documents.
@@ -73,16 +73,19 @@ def shingles(line: Column, chars: int) -> Column:
 def buckets(rows: DataFrame, p: Shape) -> DataFrame:
     """id, bucket: of rows (id, hashes), a row for each band."""
     points = F.array(*[F.lit(k * (1 << 64) // p.bands - (1 << 63) >> POINT_BITS << POINT_BITS).cast("long") for k in range(p.bands)])
-    marked = rows.select("id", F.sort_array(F.array_union("hashes", points)).alias("marked"))
+    marked = rows.select("id", F.sort_array(F.concat("hashes", points)).alias("marked"))
     # exploded, as this is compiled, but a lambda over points is not
     each = marked.select("id", "marked", F.explode(points).alias("point"))
-    each = each.select("id", "marked", "point", F.array_position("marked", F.col("point")).cast("int").alias("at"))
-    next_ = [F.get("marked", F.pmod(F.col("at") + j, F.size("marked"))) for j in range(p.rows)]
+    at = F.array_position("marked", F.col("point")).cast("int") + 1
+    each = each.select("id", "marked", "point", at.alias("at"), F.slice("marked", at, p.rows).alias("next"))
+    # copies of a hash stand together, and count once; few lines have any
+    apart = F.slice(F.array_distinct(F.slice("marked", F.col("at"), F.size("marked"))), 1, p.rows)
+    each = each.select("id", "point", F.when(F.size(F.array_distinct("next")) < F.size("next"), apart).otherwise(F.col("next")).alias("band"))
     # where only points follow there is nothing to share
     some = F.lit(False)
-    for x in next_:
-        some = some | (x.bitwiseAND(F.lit((1 << POINT_BITS) - 1)) != 0)
-    return each.where(some).select("id", F.xxhash64("point", *next_).alias("bucket"))
+    for j in range(p.rows):
+        some = some | (F.coalesce(F.get("band", F.lit(j)), F.lit(0)).bitwiseAND(F.lit((1 << POINT_BITS) - 1)) != 0)
+    return each.where(some).select("id", F.xxhash64("point", "band").alias("bucket"))
 
 
 def stripped(line: Column) -> Column:
@@ -115,7 +118,7 @@ def removals(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     held = known.select("id", "line").join(ids, "id", "left_semi")
     held = scratch.put(held.select("id", F.size(F.array_distinct(shingles(F.col("line"), p.chars))).alias("n"), F.col("line").alias("x")), "held")
     scratch.sweep()
-    roots = linked_groups(scratch, pairs, held, lambda x: F.array_distinct(shingles(x, p.chars)), p.percent)
+    roots = linked_groups(scratch, pairs, held, lambda x: shingles(x, p.chars), p.percent)
 
     first = known.drop("line")
     # the first place of each line: the smallest document, and there the smallest number
@@ -130,7 +133,8 @@ def removals(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     scratch.sweep()
     number = places.where("doc_id = first").groupBy("root").agg(F.min("pos").alias("first_pos"))
     out = places.join(number, "root").where("doc_id <> first or pos <> first_pos")
-    out = out.groupBy("doc_id", "twin").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    # dealt by document first: lists of lines are longer than the lines' numbers, and none is complete before
+    out = out.select("doc_id", "twin", "pos").repartition("doc_id", "twin").groupBy("doc_id", "twin").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     run = F.transform("at", lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get("at", i - 1), F.lit(-1)) - 1), F.lit("1")))
     return scratch.put(out.select("doc_id", "twin", F.array_join(run, "").cast("binary").alias("gone")), "gone")
 
