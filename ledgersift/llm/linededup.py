@@ -71,21 +71,23 @@ def shingles(line: Column, chars: int) -> Column:
 
 
 def buckets(rows: DataFrame, p: Shape) -> DataFrame:
-    """id, bucket: of rows (id, hashes), a row for each band."""
+    """id, bucket: of rows (id, hashes), a row for each band; null where only points follow.
+
+    Each step is a projection whose columns the next one uses more than once, so that none
+    is put into another: one large method would not be compiled.
+    """
     points = F.array(*[F.lit(k * (1 << 64) // p.bands - (1 << 63) >> POINT_BITS << POINT_BITS).cast("long") for k in range(p.bands)])
     marked = rows.select("id", F.sort_array(F.concat("hashes", points)).alias("marked"))
-    # exploded, as this is compiled, but a lambda over points is not
     each = marked.select("id", "marked", F.explode(points).alias("point"))
-    at = F.array_position("marked", F.col("point")).cast("int") + 1
-    each = each.select("id", "marked", "point", at.alias("at"), F.slice("marked", at, p.rows).alias("next"))
+    each = each.select("id", "marked", "point", (F.array_position("marked", F.col("point")).cast("int") + 1).alias("at"))
+    each = each.select("id", "marked", "point", "at", F.slice("marked", F.col("at"), p.rows).alias("next"))
     # copies of a hash stand together, and count once; few lines have any
     apart = F.slice(F.array_distinct(F.slice("marked", F.col("at"), F.size("marked"))), 1, p.rows)
     each = each.select("id", "point", F.when(F.size(F.array_distinct("next")) < F.size("next"), apart).otherwise(F.col("next")).alias("band"))
-    # where only points follow there is nothing to share
     some = F.lit(False)
     for j in range(p.rows):
         some = some | (F.coalesce(F.get("band", F.lit(j)), F.lit(0)).bitwiseAND(F.lit((1 << POINT_BITS) - 1)) != 0)
-    return each.where(some).select("id", F.xxhash64("point", "band").alias("bucket"))
+    return each.select("id", F.when(some, F.xxhash64("point", "band")).alias("bucket"))
 
 
 def stripped(line: Column) -> Column:

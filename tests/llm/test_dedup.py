@@ -192,7 +192,7 @@ def test_similar_lines_share_a_band(spark):
 
     def alike(rows):
         """Rows whose x and y share a bucket, and whether all are shared."""
-        x, y = (linededup.buckets(rows.select("id", F.col(c).alias("hashes")), linededup.Shape()) for c in ("x", "y"))
+        x, y = (linededup.buckets(rows.select("id", F.col(c).alias("hashes")), linededup.Shape()).dropna() for c in ("x", "y"))
         sums = x.withColumn("x", F.lit(1)).join(y.withColumn("y", F.lit(1)), ["id", "bucket"], "full").groupBy("id")
         return sums.agg((F.count("x") + F.count("y") - F.count("*")).alias("shared"), F.count("*").alias("all"))
 
