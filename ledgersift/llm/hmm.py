@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACED, Scratch, arrow_batches, hash_runs, mix, text_buffers, word_spans
 
-BLOCK_BYTES = 3 << 20
+#: Texts of a block go through the recursions side by side: the more there are, the less a long one costs.
+BLOCK_BYTES = 10 << 20
 BUCKET_BYTES = 16 << 20
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
