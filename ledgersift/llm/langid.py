@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import SPACED, arrow_batches, hash_runs, slices, word_spans
+from .common import SPACED, arrow_batches, hash_runs, quoted, slices, word_spans
 
 SEGMENT = 32
 #: Distinct segments that a worker keeps; then it begins anew.
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, use: Column, p: Training = Training()) -> tuple[list[st
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(use)
     counts = rows.groupBy("lang").count()
     # an expected number of rows for each language, chosen by a seeded hash of the id
-    chance = F.broadcast(counts.select("lang", (F.lit(float(p.rows_per_language << 24)) / F.col("count")).alias("below")))
+    chance = counts.select("lang", (F.lit(float(p.rows_per_language << 24)) / F.col("count")).alias("below"))
     picked = rows.join(chance, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 24)) < F.col("below"))
     got = picked.select("doc_id", "lang", "text").collect()
     return train([(r.text.encode(), r.lang) for r in sorted(got, key=lambda r: (r.doc_id, r.text))], p)
@@ -280,7 +280,7 @@ def predict(docs: DataFrame, model: tuple[list[str], dict], *keep: str) -> DataF
 
 
 def predict_with(docs: DataFrame, model: tuple[list[str], dict], keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs (doc_id, and the columns ``keep``, among them text) -> and two columns, called ``names``."""
+    """docs (doc_id, and the columns ``keep``, among them text) -> and two more columns, called ``names``, at the end."""
     spark = docs.sparkSession
     arrow_batches(spark)
     languages, m = model
@@ -288,10 +288,11 @@ def predict_with(docs: DataFrame, model: tuple[list[str], dict], keep: list[str]
     labels = np.array([*languages, "und"])
     model_id = str(hash(tuple(float(v.sum()) for v in m.values())))
     columns = ["doc_id", *keep]
+    text = f"c{columns.index('text')}"
 
     def run(batches):
         m = held.value
-        for part, data, offs in slices(batches, "text"):
+        for part, data, offs in slices(batches, text):
             n = part.num_rows
             best, score = np.full(n, len(labels) - 1), np.zeros(n)
             begin, length, row = segments(data, offs)
@@ -303,8 +304,9 @@ def predict_with(docs: DataFrame, model: tuple[list[str], dict], keep: list[str]
                 found = _has_letter(data, offs) & (pooled.sum(1) > 0)
                 best[found] = pooled.argmax(1)[found]
                 score[found] = np.clip(pooled.max(1)[found], 0, 1)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(labels[best]), pa.array(score)], [*columns, *names])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels[best]), pa.array(score)], [*part.schema.names, "lang", "score"])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns])
-    schema = StructType([*rows.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return rows.mapInArrow(run, schema)
+    # by place inside: any names will do
+    rows = docs.select(*[F.col(quoted(c)) for c in columns]).toDF(*[f"c{k}" for k in range(len(columns))])
+    schema = StructType([*rows.schema.fields, StructField("lang", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema).toDF(*columns, *names)

@@ -47,13 +47,8 @@ def find(parent, x):
     return x
 
 
-@pytest.mark.parametrize("words, percent", [(3, 85), (5, 80)])
-def test_near_duplicates(spark, words, percent):
-    texts = [(i, t) for i, t in corpus() if i is not None]
-    sets = {}
-    for i, t in texts:
-        w = low(t).split()
-        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+def grouped(sets, percent):
+    """The smallest member that can be reached over links, of each member of a dict of sets."""
     parent = {i: i for i in sets}
     for a in sets:
         for b in sets:
@@ -61,6 +56,21 @@ def test_near_duplicates(spark, words, percent):
             if b < a and both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = find(parent, a), find(parent, b)
                 parent[max(x, y)] = min(x, y)
+    return {i: find(parent, i) for i in sets}
+
+
+def shingled(texts, words):
+    out = {}
+    for i, t in texts:
+        w = low(t).split()
+        out[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+    return out
+
+
+@pytest.mark.parametrize("words, percent", [(3, 85), (5, 80)])
+def test_near_duplicates(spark, words, percent):
+    sets = shingled([x for x in corpus() if x[0] is not None], words)
+    root = grouped(sets, percent)
     docs = frame(spark, corpus())
     got = neardup.near_duplicates(docs, neardup.Shape(words=words, percent=percent)).collect()
     assert len(got) == len(corpus())
@@ -68,9 +78,9 @@ def test_near_duplicates(spark, words, percent):
         if r.doc_id is None:
             assert r.component_id is None and r.kept
         else:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(parent, r.doc_id), find(parent, r.doc_id) == r.doc_id)
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id)
     left = neardup.dedup(docs, neardup.Shape(words=words, percent=percent))
-    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i in sets if find(parent, i) == i} | {None}
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i in sets if root[i] == i} | {None}
     assert neardup.near_duplicates(docs.where("false")).count() == 0
 
 
@@ -134,31 +144,25 @@ def test_super_minhash_estimates_jaccard():
     assert sorted(np.floor(single[0]).astype(int)) == list(range(200))
 
 
-def test_line_dedup(spark):
-    p = linededup.Shape()
-    texts = [(i, t) for i, t in corpus() if i is not None]
-    strip = lambda x: x.strip(" \t\r\f\x0b")
-    sets = {}
-    for _, t in texts:
-        for x in map(strip, (t or "").split("\n")):
-            if x:
-                sets[x] = {x[k : k + p.chars] for k in range(max(1, len(x) - p.chars + 1))}
-    parent = {x: x for x in sets}
-    names = sorted(sets)
-    for a in names:
-        for b in names:
-            both = len(sets[a] & sets[b])
-            if b < a and both and 100 * both >= p.percent * len(sets[a] | sets[b]):
-                x, y = find(parent, a), find(parent, b)
-                parent[max(x, y)] = min(x, y)
+def strip(x):
+    return x.strip(" \t\r\f\x0b")
+
+
+def without_lines(texts, p=linededup.Shape()):
+    """Texts by id, of each group of like lines the first."""
+    lines = {strip(x) for _, t in texts for x in (t or "").split("\n")} - {""}
+    root = grouped({x: {x[k : k + p.chars] for k in range(max(1, len(x) - p.chars + 1))} for x in sorted(lines)}, p.percent)
     first: dict = {}
     for i, t in sorted(texts, key=lambda r: r[0]):
         for pos, x in enumerate((t or "").split("\n")):
             if strip(x):
-                first.setdefault(find(parent, strip(x)), (i, pos))
-    want = {}
-    for i, t in texts:
-        want[i] = t if t is None else "\n".join(x for pos, x in enumerate(t.split("\n")) if not strip(x) or first[find(parent, strip(x))] == (i, pos))
+                first.setdefault(root[strip(x)], (i, pos))
+    return {i: t if t is None else "\n".join(x for pos, x in enumerate(t.split("\n")) if not strip(x) or first[root[strip(x)]] == (i, pos)) for i, t in texts}
+
+
+def test_line_dedup(spark):
+    texts = [(i, t) for i, t in corpus() if i is not None]
+    want = without_lines(texts)
     docs = frame(spark, corpus())
     got = linededup.report(docs).collect()
     assert len(got) == len(corpus())
@@ -333,19 +337,77 @@ def test_mixing_prefix_does_not_depend_on_ranges(spark, monkeypatch):
     assert queries.mixed(docs.where("false")).count() == 0
 
 
+def without_windows(text, windows, size=10):
+    """The text without words of benchmark windows, cut until none occurs; None if no word is left."""
+    import re
+
+    while True:
+        words = list(re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text))
+        low_ = [low(m[0].decode()) for m in words]
+        hit = [False] * len(words)
+        for w in windows:
+            for k in range(len(low_) - len(w) + 1):
+                if tuple(low_[k : k + len(w)]) == w:
+                    hit[k : k + len(w)] = [True] * len(w)
+        if not any(hit):
+            return text if words else None
+        out, at, k = b"", 0, 0
+        while k < len(words):
+            if hit[k]:
+                out += text[at : words[k].start()]
+                while k < len(words) and hit[k]:
+                    at = words[k].end()
+                    k += 1
+            else:
+                k += 1
+        text = out + text[at:]
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage against brute force on all its predecessor kept, the last against its SQL."""
+    import duckdb
     import corpus_pipeline
 
-    frame(spark, corpus()).drop("score").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(0, corpus()[3][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [x for x in corpus() if x[0] is not None and x != corpus()[-2]] + [(90, "123 456"), (91, "...")]
+    item = corpus()[3][1]
+    words = low(item).split()
+    windows = {tuple(words[k : k + 10]) for k in range(max(1, len(words) - 9))}
+    texts.append((92, "before it " + item.replace("\n", " ") + " and after it"))
+    frame(spark, texts).drop("score").withColumnRenamed("source", "source").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs, columns = spark.read.parquet(str(tmp_path / "documents.parquet")), ["doc_id", "text", "lang", "source", "n_chars"]
-    kept = [docs.count()]
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+    now = dict(texts)
+
+    def language(x):
+        return {i: t for i, t in x.items() if any(ch.isalpha() for ch in t or "")}
+
+    def lines(x):
+        out = without_lines(list(x.items()))
+        return {i: t for i, t in out.items() if t == x[i] or strip(t.replace("\n", ""))}
+
+    def near(x):
+        root = grouped(shingled(x.items(), 5), 80)
+        return {i: t for i, t in x.items() if root[i] == i}
+
+    def clean(x):
+        out = {i: without_windows(t.encode(), windows) if low(t) else t.encode() for i, t in x.items()}
+        return {i: t.decode() for i, t in out.items() if t is not None}
+
+    for (name, stage), brute in zip(corpus_pipeline.STAGES[:-1], (language, lines, near, clean)):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == columns
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
-        kept.append(docs.count())
-    assert kept == sorted(kept, reverse=True) and 0 < kept[-1] < kept[0]
-    assert len([n for n, _ in corpus_pipeline.STAGES]) == 5
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
+        before, now = now, brute(now)
+        rows = docs.collect()
+        assert {r.doc_id: r.text for r in rows} == now, name
+        assert len(rows) == len(now) < len(before) and all(r.lang == "en" and r.n_chars == len(r.text) for r in rows), name
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{corpus_pipeline.STAGES[-2][0]}/*.parquet'")
+    want = db.execute(queries.OP8_SQL).fetchall()
+    assert sorted(map(repr, ((r.doc_id, r.domain, r.lang, r.source, r.n_tokens, r.epoch) for r in got))) == sorted(map(repr, want)) and got
+    none = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+    assert none.count() == 0

@@ -58,6 +58,14 @@ def test_components(spark):
     assert {r.id: r.root for r in got} == {x: find(x) for x in parent if x not in alone}
 
 
+def test_no_scratch_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace as Fake
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.Scratch(Fake(conf=Fake(get=lambda *_: None), sparkContext=Fake(master=master)))
+
+
 def test_language_id(spark):
     docs = spark.createDataFrame(corpus(), DOCS)
     p = langid.Training(rows_per_language=40, segments=4000, steps=80)
