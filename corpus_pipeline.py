@@ -18,9 +18,12 @@ from ledgersift.llm.queries import mixed
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only texts without letters (``und``) go; all others stay. ``lang`` is the prediction, always a learnt language."""
     model = langid.fit(docs, crc_mod(F.col("doc_id"), 3) != 1)
-    kept = [c for c in docs.columns if c not in ("doc_id", "lang")]
-    found = langid.predict_with(docs, model, kept, ("__lang", "__score")).where("__lang <> 'und'")
-    return found.withColumn("lang", F.col("__lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = [c for c in docs.columns if c != "doc_id"]
+    # by place: columns may have any names
+    found = langid.predict_with(docs, model, kept)
+    place = {c: f"c{k}" for k, c in enumerate(["doc_id", *kept, None])}
+    found = found.toDF(*[f"c{k}" for k in range(len(found.columns))]).where(F.col(place[None]) != "und")
+    return found.select(*[F.col(place[None if c == "lang" else c]).alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
