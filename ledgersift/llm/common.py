@@ -61,6 +61,12 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        """Delete all tables of this folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.sweep()
+
     def sweep(self) -> None:
         """Let Spark delete the shuffle files of plans that are gone."""
         gc.collect()
@@ -247,6 +253,10 @@ def stars(scratch: Scratch, marks: DataFrame, passes: int = 1) -> DataFrame:
     return found if passes == 1 else scratch.put(found.distinct(), "stars")
 
 
+def star_ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("p")).distinct()
+
+
 #: Members of a family that a task holds against one another at once.
 BLOCK = 1024
 
@@ -255,8 +265,8 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
     """Components (id, root) of the links among members of one family; None if there is no link.
 
     pairs: (a, p) as of ``stars``: the family of p is p and all its a. data: (id, n, x), n
-    being the number of distinct elements of the array that ``as_set`` makes of x. All pairs of a family are decided
-    on their full sets, or are in one component already:
+    being the number of distinct elements of the array that ``as_set`` makes of x. All pairs
+    of a family are decided on their full sets, or are in one component already:
 
     1. Each member is compared with p. That joins a group of like members at once.
     2. In ``rounds``, a family's members outside its largest component are compared with a
@@ -265,53 +275,71 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
        that lets only links through. A pair is tested in the first family that it shares.
     """
     spark = data.sparkSession
-    enough = lambda m, n, x, y: (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (F.size(F.array_intersect(x, y)) * (100 + percent) >= (F.col(m) + F.col(n)) * percent)
-
+    own = Scratch(spark)  # what is written on the way goes after each step
     def side(k: str) -> DataFrame:
         return data.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("x").alias(f"x{k}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         # pivots, on the side of p, may be in many pairs: Spark can split that join, as no order is asked of it
-        both = pairs.join(side("a"), "a").join(side("p"), "p").where(enough("na", "np", as_set(F.col("xa")), as_set(F.col("xp"))))
-        return scratch.put(both.select("a", F.col("p").alias("b")), "links")
+        shared = F.size(F.array_intersect(as_set(F.col("xa")), as_set(F.col("xp"))))
+        like = (F.least("na", "np") * 100 >= F.greatest("na", "np") * percent) & (shared * (100 + percent) >= (F.col("na") + F.col("np")) * percent)
+        both = pairs.join(side("a"), "a").join(side("p"), "p").where(like)
+        return own.put(both.select("a", F.col("p").alias("b")), "links")
 
     links = verified(pairs)
-    roots = scratch.put(components(spark, scratch, links), "roots")
+    roots = scratch.put(components(spark, own, links), "roots")
     # pairs with p are decided by now, and so are families of two: what is left are pairs of its other members
     families = pairs.select("p", F.col("a").alias("id"))
     for k in range(rounds + 1):
-        scratch.sweep()
+        own.clear()
         at = families.join(roots, "id", "left").select("p", "id", F.coalesce("root", "id").alias("root"))
         parts = at.groupBy("p", "root").agg(F.count("*").alias("n"))
         top = parts.groupBy("p").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).where(F.col("roots") > 1)
-        top = scratch.put(top.select("p", F.col("top.root").alias("main"), F.col("all").cast("long").alias("members"), (F.col("all") - F.col("top.n")).cast("long").alias("others")), "open")
+        top = own.put(top.select("p", F.col("top.root").alias("main"), F.col("all").cast("long").alias("members"), (F.col("all") - F.col("top.n")).cast("long").alias("others")), "open")
         if top.isEmpty():
             break
-        at = scratch.put(at.join(top, "p"), "members")
+        at = own.put(at.join(top, "p"), "members")
         if k < rounds:
             salt = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(pivots)).alias("salt")
             inside = at.where("root = main").groupBy("p", salt).agg(F.min("id").alias("pivot")).select("p", "pivot")
             new = at.where("root <> main").select("p", F.col("id").alias("a")).join(inside, "p").select("a", F.col("pivot").alias("p"))
             new = verified(new.distinct())
         else:
-            mine = at.groupBy("id").agg(F.collect_list("p").alias("mine"))
-            new = _rest(scratch, at, data.join(mine, "id").select("id", "n", "mine", as_set(F.col("x")).alias("x")), enough)
+            new = _rest(own, at, data.select("id", "n", as_set(F.col("x")).alias("x")), percent)
         if not new.isEmpty():
             edges = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(new)
-            roots = scratch.put(components(spark, scratch, edges), "roots")
+            old, roots = roots, scratch.put(components(spark, own, edges), "roots")
+            scratch.drop(old)
+    own.clear()
     return None if roots.isEmpty() else roots
 
 
-def _rest(scratch: Scratch, at: DataFrame, sets: DataFrame, enough) -> DataFrame:
-    """Links (a, b) of members (p, id, root, main, members, others) outside the main component with any other of the family."""
-    rows = at.join(scratch.put(sets, "sets"), "id")
+def _rest(scratch: Scratch, at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of members (p, id, root, main, members, others) outside the main component with any other of the family.
+
+    A member is known by what it lacks of p's set and by what it has besides. That is less
+    than its set, and tells of most pairs that they share too little.
+    """
+    mine = at.groupBy("id").agg(F.collect_list("p").alias("mine"))
+    ids = mine.select("id").union(at.select("p").distinct()).distinct()
+    sets = scratch.put(sets.join(ids, "id", "left_semi"), "sets")
+    pivot = sets.select(F.col("id").alias("p"), F.col("n").alias("size"), F.col("x").alias("its"))
+    rows = at.join(mine.join(sets, "id"), "id").join(pivot, "p")
+    rows = rows.select("p", "id", "root", "main", "members", "others", "n", "mine", "size", F.xxhash64("its").alias("tag"), F.array_except("its", "x").alias("lacks"), F.array_except("x", "its").alias("more"))
     deal = lambda c, by: F.pmod(F.xxhash64("id", F.lit(by)), F.ceil(F.col(c) / BLOCK)).alias(by)
     every = lambda c, by: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / BLOCK) - 1)).alias(by)
-    keep = ["id", "root", "n", "mine", "x"]
-    a = rows.select("p", deal("members", "part"), every("others", "turn"), *[F.col(c).alias(f"a_{c}") for c in keep])
-    b = rows.where("root <> main").select("p", every("members", "part"), deal("others", "turn"), (F.col("id")).alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in keep[1:]])
+    keep = ["id", "root", "n", "mine", "lacks", "more"]
+    a = rows.select("p", "tag", "size", deal("members", "part"), every("others", "turn"), *[F.col(c).alias(f"a_{c}") for c in keep])
+    b = rows.where("root <> main").select("p", "tag", every("members", "part"), deal("others", "turn"), *[F.col(c).alias(f"b_{c}") for c in keep])
+    n, m = F.col("a_n"), F.col("b_n")
+    lack, also = (F.size(F.array_intersect(f"a_{c}", f"b_{c}")) for c in ("lacks", "more"))
+    enough = lambda shared: shared * (100 + percent) >= (n + m) * percent
+    most = F.least(F.size("a_more"), F.size("b_more"))
+    left = F.col("size") - F.size("a_lacks") - F.size("b_lacks")
     first = F.array_min(F.array_intersect("a_mine", "b_mine")) == F.col("p")
-    both = a.join(b, ["p", "part", "turn"]).where((F.col("a_root") != F.col("b_root")) & first & enough("a_n", "b_n", F.col("a_x"), F.col("b_x")))
+    test = (F.col("a_root") != F.col("b_root")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & enough(left + F.least(F.size("a_lacks"), F.size("b_lacks")) + most)
+    test = test & first & enough(left + lack + most) & enough(left + lack + also)
+    both = a.join(b, ["p", "tag", "part", "turn"]).where(test)
     return scratch.put(both.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct(), "links")
 
 

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW_BUCKETS, Scratch, linked_groups, stars, unpacked, whole_row
+from .common import Scratch, linked_groups, star_ids, stars, unpacked, whole_row
 
 
 @dataclass(frozen=True)
@@ -82,8 +82,11 @@ def buckets(rows: DataFrame, p: Shape) -> DataFrame:
     each = each.select("id", "marked", "point", (F.array_position("marked", F.col("point")).cast("int") + 1).alias("at"))
     each = each.select("id", "marked", "point", "at", F.slice("marked", F.col("at"), p.rows).alias("next"))
     # copies of a hash stand together, and count once; few lines have any
+    copies = F.lit(False)
+    for j in range(1, p.rows):
+        copies = copies | F.coalesce(F.get("next", F.lit(j - 1)) == F.get("next", F.lit(j)), F.lit(False))
     apart = F.slice(F.array_distinct(F.slice("marked", F.col("at"), F.size("marked"))), 1, p.rows)
-    each = each.select("id", "point", F.when(F.size(F.array_distinct("next")) < F.size("next"), apart).otherwise(F.col("next")).alias("band"))
+    each = each.select("id", "point", F.when(copies, apart).otherwise(F.col("next")).alias("band"))
     some = F.lit(False)
     for j in range(p.rows):
         some = some | (F.coalesce(F.get("band", F.lit(j)), F.lit(0)).bitwiseAND(F.lit((1 << POINT_BITS) - 1)) != 0)
@@ -115,12 +118,12 @@ def removals(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     marks = scratch.put(buckets(known.select("id", shingles(F.col("line"), p.chars).alias("hashes")), p), "bands")
     pairs = stars(scratch, marks, p.passes)
     scratch.drop(marks)
-    ids = scratch.put(pairs.select(F.col("a").alias("id")).union(pairs.select("p")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= FEW_BUCKETS else ids.hint("merge")
-    held = known.select("id", "line").join(ids, "id", "left_semi")
+    # by id on both sides at any size: what is shuffled grows as the input does
+    held = known.select("id", "line").join(star_ids(pairs).hint("merge"), "id", "left_semi")
     held = scratch.put(held.select("id", F.size(F.array_distinct(shingles(F.col("line"), p.chars))).alias("n"), F.col("line").alias("x")), "held")
     scratch.sweep()
     roots = linked_groups(scratch, pairs, held, lambda x: shingles(x, p.chars), p.percent)
+    scratch.drop(pairs, held)
 
     first = known.drop("line")
     # the first place of each line: the smallest document, and there the smallest number
@@ -132,13 +135,16 @@ def removals(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     group = scratch.put(first.select("k1", "k2", "root").join(group, "root").select("k1", "k2", "root", "first"), "groups")
     scratch.sweep()
     places = scratch.put(every.select("doc_id", "twin", "pos", *_key()).join(group, ["k1", "k2"]).select("doc_id", "twin", "pos", "root", "first"), "places")
+    scratch.drop(known, group)
     scratch.sweep()
     number = places.where("doc_id = first").groupBy("root").agg(F.min("pos").alias("first_pos"))
     out = places.join(number, "root").where("doc_id <> first or pos <> first_pos")
     # dealt by document first: lists of lines are longer than the lines' numbers, and none is complete before
     out = out.select("doc_id", "twin", "pos").repartition("doc_id", "twin").groupBy("doc_id", "twin").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     run = F.transform("at", lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get("at", i - 1), F.lit(-1)) - 1), F.lit("1")))
-    return scratch.put(out.select("doc_id", "twin", F.array_join(run, "").cast("binary").alias("gone")), "gone")
+    gone = Scratch(docs.sparkSession).put(out.select("doc_id", "twin", F.array_join(run, "").cast("binary").alias("gone")), "gone")
+    scratch.clear()
+    return gone
 
 
 def with_kept_lines(docs: DataFrame, p: Shape = Shape()) -> DataFrame:

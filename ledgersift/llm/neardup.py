@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Scratch, arrow_batches, hash_words, linked_groups, mix, slices, stars, unpacked, whole_row
+from .common import SPACED, Scratch, arrow_batches, hash_words, linked_groups, mix, slices, star_ids, stars, unpacked, whole_row
 
 
 @dataclass(frozen=True)
@@ -163,10 +163,12 @@ def link(docs: DataFrame, p: Shape = Shape()) -> tuple[DataFrame, DataFrame, Dat
     scratch.sweep()
     pairs = stars(scratch, classes.select("id", F.explode("bands").alias("bucket")))
     arrow_batches(spark, 200)
-    sets = scratch.put(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("p")).distinct(), p), "sets")
+    sets = scratch.put(_sets(docs, star_ids(pairs), p), "sets")
     arrow_batches(spark)
     scratch.sweep()
-    return marks, classes, linked_groups(scratch, pairs, sets, lambda x: x, p.percent)
+    roots = linked_groups(scratch, pairs, sets, lambda x: x, p.percent)
+    scratch.drop(pairs, sets)
+    return marks, classes, roots
 
 
 def near_duplicates(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
