@@ -165,7 +165,7 @@ def test_runner_records_links_and_masks(spark, case, tmp_path):
     case.evidence.review(r.finding_ids[0], "Kim", "explained")
     assert case.evidence.findings().where("reviewer_state = 'explained'").count() == 1
     x = run_test(case, "cross-dataset-match", "reg", identifier="reg", right_table="other", right_column="k", salt_folder=str(tmp_path))
-    assert x.status == "completed" and x.evidence["links"] == 3
+    assert x.status == "completed" and x.evidence["links"] == 4
 
 
 @pytest.mark.parametrize(
