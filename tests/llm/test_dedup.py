@@ -342,8 +342,8 @@ def without_windows(text, windows, size=10):
     import re
 
     while True:
-        words = list(re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text))
-        low_ = [low(m[0].decode()) for m in words]
+        words = list(re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text.decode())))
+        low_ = [m[0] for m in words]
         hit = [False] * len(words)
         for w in windows:
             for k in range(len(low_) - len(w) + 1):
