@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import PATTERNS, half_width, norm_key
 from .names import ident
 
+#: Fixed value: the name under which a case keeps its secret.
 SALT_FILE = ".forensic_mask_salt"
 #: Words in a column's name that mark it as sensitive.
 SENSITIVE_WORDS = {"aadhaar", "account", "acct", "address", "bank", "dob", "email", "ifsc", "mail", "mobile", "pan", "passport", "password", "person", "phone", "ssn", "uid"}

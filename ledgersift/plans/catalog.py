@@ -253,6 +253,12 @@ def _profile_sql(name: str, columns: tuple[str, ...]) -> str:
     return " UNION ALL ".join(map(one, columns))
 
 
+def _token_sql(text: str) -> str:
+    """Twelve letters from HMAC-SHA256 of a text."""
+    inner, outer = ("".join(f"{b ^ pad:02x}" for b in QUERY_SECRET.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    return f"translate(substr(sha256(unhex('{outer}' || sha256(unhex('{inner}' || hex(encode({text})))))), 1, 12), '0123456789', 'ghijklmnop')"
+
+
 _LINE = ("l_orderkey", "l_linenumber")
 
 
@@ -301,5 +307,6 @@ SELECT count(a.k) AS left_keys, count(b.k) AS right_keys, count(*) FILTER (a.k I
         "profile_customer": _profile_sql("customer", ("c_custkey", "c_nationkey", "c_acctbal")),
         "pattern_share": " UNION ALL ".join(f"SELECT '{k}' AS pattern, count(*) FILTER (regexp_matches(trim(c_name), '{p}')) AS matches, round(count(*) FILTER (regexp_matches(trim(c_name), '{p}')) / count(c_name), 6) AS share FROM customer" for k, p in patterns.items()),
         "top_values": "SELECT 'lineitem.l_discount' AS \"column\", round(sum(c) / (SELECT count(l_discount) FROM lineitem), 6) AS top10_share FROM (SELECT count(*) AS c FROM lineitem WHERE l_discount IS NOT NULL GROUP BY l_discount ORDER BY c DESC LIMIT 10)",
+        "mask_tokens": f"SELECT s_suppkey, {_token_sql(_key_sql('s_name'))} AS token FROM supplier",
         "evidence_links": f"WITH f AS ({dup}) SELECT '[\"' || l_orderkey || '\",\"' || l_linenumber || '\",\"' || l_partkey || '\"]' AS key_value FROM lineitem WHERE {line} IN (SELECT key FROM f)",
     }
