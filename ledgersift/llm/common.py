@@ -260,6 +260,9 @@ def star_ids(pairs: DataFrame) -> DataFrame:
 #: Members of a family that a task holds against one another at once.
 BLOCK = 1024
 
+#: Families of fewer members are not worth a round of pivots.
+CROWD = 1024
+
 
 def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, percent: int, rounds: int = 1, pivots: int = 4) -> DataFrame | None:
     """Components (id, root) of the links among members of one family; None if there is no link.
@@ -269,10 +272,11 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
     of a family are decided on their full sets, or are in one component already:
 
     1. Each member is compared with p. That joins a group of like members at once.
-    2. In ``rounds``, a family's members outside its largest component are compared with a
-       few of those inside, ``pivots`` a round.
+    2. In ``rounds``, members of a family of ``CROWD`` or more outside its largest component
+       are compared with a few of those inside, ``pivots`` a round.
     3. What still is outside is held against the whole family, in blocks, inside a join
-       that lets only links through. A pair is tested in the first family that it shares.
+       that lets only pairs through which share enough by their fingerprints. A pair is tested
+       in the first family that it shares.
     """
     spark = data.sparkSession
     own = Scratch(spark)  # what is written on the way goes after each step
@@ -295,9 +299,10 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
         at = families.join(roots, "id", "left").select("p", "id", F.coalesce("root", "id").alias("root"))
         parts = at.groupBy("p", "root").agg(F.count("*").alias("n"))
         top = parts.groupBy("p").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).where(F.col("roots") > 1)
-        top = own.put(top.select("p", F.col("top.root").alias("main"), F.col("all").cast("long").alias("members"), (F.col("all") - F.col("top.n")).cast("long").alias("others")), "open")
+        top = top.select("p", F.col("top.root").alias("main"), F.col("all").cast("long").alias("members"), (F.col("all") - F.col("top.n")).cast("long").alias("others"))
+        top = own.put(top.where(F.col("members") >= CROWD) if k < rounds else top, "open")
         if top.isEmpty():
-            break
+            continue
         at = own.put(at.join(top, "p"), "members")
         if k < rounds:
             salt = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(pivots)).alias("salt")
@@ -305,7 +310,7 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
             new = at.where("root <> main").select("p", F.col("id").alias("a")).join(inside, "p").select("a", F.col("pivot").alias("p"))
             new = verified(new.distinct())
         else:
-            new = _rest(own, at, data.select("id", "n", as_set(F.col("x")).alias("x")), percent)
+            new = verified(_rest(own, at, data.select("id", "n", as_set(F.col("x")).alias("x")), percent))
         if not new.isEmpty():
             edges = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(new)
             old, roots = roots, scratch.put(components(spark, own, edges), "roots")
@@ -315,32 +320,32 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
 
 
 def _rest(scratch: Scratch, at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of members (p, id, root, main, members, others) outside the main component with any other of the family.
+    """Pairs (a, p) of members (p, id, root, main, members, others) outside the main component with any other of the family.
 
-    A member is known by what it lacks of p's set and by what it has besides. That is less
-    than its set, and tells of most pairs that they share too little.
+    A pair comes out if it can be a link by its members' fingerprints, of two bytes an element
+    where a set takes eight. Two sets share at most as many elements as their fingerprints, and
+    besides those that the fingerprint of either has lost: no link is left out, and in sets of
+    some hundred elements hardly any other pair comes out.
     """
     mine = at.groupBy("id").agg(F.collect_list("p").alias("mine"))
-    ids = mine.select("id").union(at.select("p").distinct()).distinct()
-    sets = scratch.put(sets.join(ids, "id", "left_semi"), "sets")
-    pivot = sets.select(F.col("id").alias("p"), F.col("n").alias("size"), F.col("x").alias("its"))
-    rows = at.join(mine.join(sets, "id"), "id").join(pivot, "p")
-    rows = rows.select("p", "id", "root", "main", "members", "others", "n", "mine", "size", F.xxhash64("its").alias("tag"), F.array_except("its", "x").alias("lacks"), F.array_except("x", "its").alias("more"))
+    # drawn up where the sets are: these are not shuffled
+    prints = sets.select("id", "n", F.array_distinct(F.transform("x", lambda h: F.shiftright(h, 48).cast("short"))).alias("prints"))
+    prints = scratch.put(prints.join(mine, "id"), "prints")
+    rows = at.join(prints, "id")
     deal = lambda c, by: F.pmod(F.xxhash64("id", F.lit(by)), F.ceil(F.col(c) / BLOCK)).alias(by)
     every = lambda c, by: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / BLOCK) - 1)).alias(by)
-    keep = ["id", "root", "n", "mine", "lacks", "more"]
-    a = rows.select("p", "tag", "size", deal("members", "part"), every("others", "turn"), *[F.col(c).alias(f"a_{c}") for c in keep])
-    b = rows.where("root <> main").select("p", "tag", every("members", "part"), deal("others", "turn"), *[F.col(c).alias(f"b_{c}") for c in keep])
+    keep = ["id", "root", "n", "mine", "prints"]
+    a = rows.select("p", deal("members", "part"), every("others", "turn"), (F.col("root") == F.col("main")).alias("inside"), *[F.col(c).alias(f"a_{c}") for c in keep])
+    b = rows.where("root <> main").select("p", every("members", "part"), deal("others", "turn"), *[F.col(c).alias(f"b_{c}") for c in keep])
     n, m = F.col("a_n"), F.col("b_n")
-    lack, also = (F.size(F.array_intersect(f"a_{c}", f"b_{c}")) for c in ("lacks", "more"))
-    enough = lambda shared: shared * (100 + percent) >= (n + m) * percent
-    most = F.least(F.size("a_more"), F.size("b_more"))
-    left = F.col("size") - F.size("a_lacks") - F.size("b_lacks")
+    lost = F.least(n - F.size("a_prints"), m - F.size("b_prints"))
+    shared = F.size(F.array_intersect("a_prints", "b_prints")) + lost
     first = F.array_min(F.array_intersect("a_mine", "b_mine")) == F.col("p")
-    test = (F.col("a_root") != F.col("b_root")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & enough(left + F.least(F.size("a_lacks"), F.size("b_lacks")) + most)
-    test = test & first & enough(left + lack + most) & enough(left + lack + also)
-    both = a.join(b, ["p", "tag", "part", "turn"]).where(test)
-    return scratch.put(both.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).distinct(), "links")
+    # two that are both outside meet twice
+    test = (F.col("a_root") != F.col("b_root")) & (F.col("inside") | (F.col("a_id") < F.col("b_id"))) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+    test = test & first & (shared * (100 + percent) >= (n + m) * percent)
+    both = a.join(b, ["p", "part", "turn"]).where(test)
+    return scratch.put(both.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("p")).distinct(), "maybe")
 
 
 def quoted(name: str) -> str:

@@ -121,11 +121,14 @@ def removals(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     # by id on both sides at any size: what is shuffled grows as the input does
     held = known.select("id", "line").join(star_ids(pairs).hint("merge"), "id", "left_semi")
     held = scratch.put(held.select("id", F.size(F.array_distinct(shingles(F.col("line"), p.chars))).alias("n"), F.col("line").alias("x")), "held")
+    # the texts have been read for the last time
+    texts, known = known, scratch.put(known.drop("line"), "first")
+    scratch.drop(texts)
     scratch.sweep()
     roots = linked_groups(scratch, pairs, held, lambda x: shingles(x, p.chars), p.percent)
     scratch.drop(pairs, held)
 
-    first = known.drop("line")
+    first = known
     # the first place of each line: the smallest document, and there the smallest number
     if roots is None:
         first = first.withColumn("root", F.col("id"))

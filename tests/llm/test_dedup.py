@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -118,6 +119,43 @@ def test_large_crowds_make_no_pair_table(spark, monkeypatch, few):
     assert common.stars(common.Scratch(spark), marks).count() == 299
 
 
+@pytest.mark.parametrize("crowd", [2, 1024])
+def test_the_rest_is_compared_by_small_prints(spark, monkeypatch, tmp_path, crowd):
+    """What is compared last is written at a fraction of its sets, and pairs come out that are links, or all but."""
+    monkeypatch.setattr(common, "CROWD", crowd, raising=False)
+    rng = random.Random(5)
+    word = lambda: rng.getrandbits(64) - 2**63
+    core = [word() for _ in range(300)]
+    sets = [set(core)] + [set(rng.sample(core, 150)) | {word() for _ in range(150)} for _ in range(40)]
+    sets += [set(list(sets[k])[:-5]) | {word() for _ in range(5)} for k in range(1, 20)]
+    # elements whose prints are the same are counted in full
+    same = [k << 20 for k in range(40)]
+    sets += [set(same), set(same[:36])]
+    parent = {i: i for i in range(len(sets))}
+    for a in parent:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    assert len({find(parent, i) for i in parent}) == len(sets) - 20
+    data = spark.createDataFrame([(i, len(x), sorted(x)) for i, x in enumerate(sets)], "id long, n long, x array<long>")
+    marks = spark.range(len(sets)).selectExpr("id", "7L AS bucket")
+    put, sizes = common.Scratch.put, {}
+
+    def noted(self, df, name):
+        out = put(self, df, name)
+        folder = Path(out._scratch_path.removeprefix("file:"))
+        sizes[name] = out.count(), sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "put", noted)
+    pairs = common.stars(common.Scratch(spark), marks)
+    got = {r.id: r.root for r in common.linked_groups(common.Scratch(spark), pairs, data, lambda x: x, 80).collect()}
+    assert {i: got.get(i, i) for i in parent} == {i: find(parent, i) for i in parent}
+    assert max(size for _, size in sizes.values()) < 4 * sum(map(len, sets))
+    assert sizes["maybe"][0] <= 21
+
+
 def test_clashing_names(spark):
     """Columns called as the operators' own ones come back untouched."""
     from pyspark.sql import functions as F
