@@ -257,6 +257,25 @@ def star_ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("p")).distinct()
 
 
+#: Rows of 64 ids that are broadcast at most, 16 bytes each: those of some 120 million ids.
+FEW_MASKS = 2_000_000
+
+
+def of_ids(scratch: Scratch, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, ...) whose id is one of ids. Ids are numbered on, as ``monotonically_increasing_id`` does.
+
+    They are broadcast as one bit each, so that rows stay where they are; more than
+    ``FEW_MASKS`` rows of bits are not, and then both sides are shuffled.
+    """
+    bit = "cast(id & 63 AS int)"
+    masks = ids.groupBy(F.shiftright("id", 6).alias("high")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("mask"))
+    masks = scratch.put(masks, "masks")
+    if masks.count() > FEW_MASKS:
+        return rows.join(ids.hint("merge"), "id", "left_semi")
+    found = rows.join(F.broadcast(masks), F.shiftright("id", 6) == F.col("high")).where(f"bit_get(mask, {bit}) = 1")
+    return found.select(*rows.columns)
+
+
 #: Members of a family that a task holds against one another at once.
 BLOCK = 1024
 

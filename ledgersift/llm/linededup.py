@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, linked_groups, star_ids, stars, unpacked, whole_row
+from .common import Scratch, linked_groups, of_ids, star_ids, stars, unpacked, whole_row
 
 
 @dataclass(frozen=True)
@@ -78,8 +78,10 @@ def buckets(rows: DataFrame, p: Shape) -> DataFrame:
     """
     points = F.array(*[F.lit(k * (1 << 64) // p.bands - (1 << 63) >> POINT_BITS << POINT_BITS).cast("long") for k in range(p.bands)])
     marked = rows.select("id", F.sort_array(F.concat("hashes", points)).alias("marked"))
-    each = marked.select("id", "marked", F.explode(points).alias("point"))
-    each = each.select("id", "marked", "point", (F.array_position("marked", F.col("point")).cast("int") + 1).alias("at"))
+    low = F.lit((1 << POINT_BITS) - 1)
+    # of all that is marked the points stay; outer, as Spark would ask for the size before, and sort twice
+    each = marked.select("id", "marked", F.posexplode_outer("marked").alias("place", "point")).where(F.col("point").bitwiseAND(low) == 0)
+    each = each.select("id", "marked", "point", (F.col("place") + 2).alias("at"))
     each = each.select("id", "marked", "point", "at", F.slice("marked", F.col("at"), p.rows).alias("next"))
     # copies of a hash stand together, and count once; few lines have any
     copies = F.lit(False)
@@ -89,12 +91,16 @@ def buckets(rows: DataFrame, p: Shape) -> DataFrame:
     each = each.select("id", "point", F.when(copies, apart).otherwise(F.col("next")).alias("band"))
     some = F.lit(False)
     for j in range(p.rows):
-        some = some | (F.coalesce(F.get("band", F.lit(j)), F.lit(0)).bitwiseAND(F.lit((1 << POINT_BITS) - 1)) != 0)
+        some = some | (F.coalesce(F.get("band", F.lit(j)), F.lit(0)).bitwiseAND(low) != 0)
     return each.select("id", F.when(some, F.xxhash64("point", "band")).alias("bucket"))
 
 
 def stripped(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r\f\x0b"))
+    # btrim walks through the whole line, and few have anything to cut
+    ends = F.lit(False)
+    for c in " \t\r\f\x0b":
+        ends = ends | F.startswith(line, F.lit(c)) | F.endswith(line, F.lit(c))
+    return F.when(ends, F.btrim(line, F.lit(" \t\r\f\x0b"))).otherwise(line)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -118,8 +124,8 @@ def removals(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     marks = scratch.put(buckets(known.select("id", shingles(F.col("line"), p.chars).alias("hashes")), p), "bands")
     pairs = stars(scratch, marks, p.passes)
     scratch.drop(marks)
-    # by id on both sides at any size: what is shuffled grows as the input does
-    held = known.select("id", "line").join(star_ids(pairs).hint("merge"), "id", "left_semi")
+    # the texts are not shuffled for it
+    held = of_ids(scratch, known.select("id", "line"), star_ids(pairs))
     held = scratch.put(held.select("id", F.size(F.array_distinct(shingles(F.col("line"), p.chars))).alias("n"), F.col("line").alias("x")), "held")
     # the texts have been read for the last time
     texts, known = known, scratch.put(known.drop("line"), "first")

@@ -247,6 +247,35 @@ def test_similar_lines_share_a_band(spark):
     assert alike(few).where("shared = all").count() == 50
 
 
+@pytest.mark.parametrize("few", [common.FEW_MASKS, 0])
+def test_rows_of_ids(spark, monkeypatch, few):
+    """One bit an id finds what a join does, at the ends of words of bits and of partitions."""
+    monkeypatch.setattr(common, "FEW_MASKS", few)
+    ids = [0, 1, 62, 63, 64, 127, 128, 3 << 33, (3 << 33) + 63, (1 << 62) + 63]
+    rows = spark.createDataFrame([(i + k, f"x{i + k}") for i in ids[3:] for k in (0, 1)], "id long, x string")
+    got = common.of_ids(common.Scratch(spark), rows, spark.createDataFrame([(i,) for i in ids], "id long"))
+    assert got.columns == ["id", "x"]
+    assert sorted((r.id, r.x) for r in got.collect()) == sorted((r.id, r.x) for r in rows.collect() if r.id in ids)
+
+
+def test_line_texts_are_not_shuffled_to_be_compared(spark, monkeypatch):
+    plans, put = {}, common.Scratch.put
+
+    def seen(self, df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return put(self, df, name)
+
+    monkeypatch.setattr(common.Scratch, "put", seen)
+    linededup.removals(frame(spark, corpus()))
+    assert "BroadcastHashJoin" in plans["held"] and "SortMergeJoin" not in plans["held"]
+
+
+def test_ends_of_lines(spark):
+    texts = [a + x + b for x in ("", "one", "one two", "\u00a0é ü") for a in ("", " ", "\t\x0b") for b in ("", "\r", " \f")]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", linededup.stripped(common.F.col("x")).alias("y"))
+    assert all(r.y == strip(r.x) for r in rows.collect())
+
+
 def brute_windows(texts, length):
     first, out = {}, {}
     for i, t in sorted(texts, key=lambda r: r[0]):
