@@ -29,6 +29,10 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(n)
 
 
+#: Spark deletes the shuffle files of a table that is written as soon as it is.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the cluster's shared folder, in place of cached blocks.
 
@@ -49,7 +53,13 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write, and read again: cuts the lineage, survives lost executors."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
+        # else they stay until the driver's garbage is collected and nothing, listeners included, holds the plan
+        before = self.spark.conf.get(SHUFFLES_GO, None)
+        self.spark.conf.set(SHUFFLES_GO, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLES_GO, before) if before else self.spark.conf.unset(SHUFFLES_GO)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -276,6 +286,26 @@ def of_ids(scratch: Scratch, rows: DataFrame, ids: DataFrame) -> DataFrame:
     return found.select(*rows.columns)
 
 
+#: Words of 64 bits in a sketch.
+WORDS = 16
+
+
+def sketches(runs: DataFrame) -> DataFrame:
+    """id, n, w0, ...: of rows (id, n, h), a row for each element of a set, or more; an element sets one bit."""
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 AS int))"), F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1))
+    return runs.groupBy("id", "n").agg(*[F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)])
+
+
+def shared_at_most(a: str, b: str) -> Column:
+    """Elements that two sets share at most, by columns n, w0, ... with these prefixes: a bit that one lacks is an element that only the other has."""
+
+    def only(x: str, y: str) -> Column:
+        bits = [F.bit_count(F.col(f"{x}w{j}").bitwiseAND(F.bitwise_not(F.col(f"{y}w{j}")))) for j in range(WORDS)]
+        return sum(bits[1:], bits[0])
+
+    return F.least(F.col(f"{a}n") - only(a, b), F.col(f"{b}n") - only(b, a))
+
+
 #: Members of a family that a task holds against one another at once.
 BLOCK = 1024
 
@@ -283,7 +313,7 @@ BLOCK = 1024
 CROWD = 1024
 
 
-def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, percent: int, rounds: int = 1, pivots: int = 4) -> DataFrame | None:
+def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, percent: int, rounds: int = 1, pivots: int = 4, sketch: DataFrame | None = None) -> DataFrame | None:
     """Components (id, root) of the links among members of one family; None if there is no link.
 
     pairs: (a, p) as of ``stars``: the family of p is p and all its a. data: (id, n, x), n
@@ -296,6 +326,9 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
     3. What still is outside is held against the whole family, in blocks, inside a join
        that lets only pairs through which share enough by their fingerprints. A pair is tested
        in the first family that it shares.
+
+    sketch: as of ``sketches``. With it, pairs that have too many bits apart to be a link are
+    left out before their sets are read.
     """
     spark = data.sparkSession
     own = Scratch(spark)  # what is written on the way goes after each step
@@ -306,6 +339,11 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
         # pivots, on the side of p, may be in many pairs: Spark can split that join, as no order is asked of it
         shared = F.size(F.array_intersect(as_set(F.col("xa")), as_set(F.col("xp"))))
         like = (F.least("na", "np") * 100 >= F.greatest("na", "np") * percent) & (shared * (100 + percent) >= (F.col("na") + F.col("np")) * percent)
+        if sketch is not None:
+            bits = lambda k: sketch.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in sketch.columns[1:]])
+            n, m = F.col("a_n"), F.col("p_n")
+            near = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (shared_at_most("a_", "p_") * (100 + percent) >= (n + m) * percent)
+            pairs = own.put(pairs.join(bits("a"), "a").join(bits("p"), "p").where(near).select("a", "p"), "near")
         both = pairs.join(side("a"), "a").join(side("p"), "p").where(like)
         return own.put(both.select("a", F.col("p").alias("b")), "links")
 
@@ -329,7 +367,9 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
             new = at.where("root <> main").select("p", F.col("id").alias("a")).join(inside, "p").select("a", F.col("pivot").alias("p"))
             new = verified(new.distinct())
         else:
-            new = verified(_rest(own, at, data.select("id", "n", as_set(F.col("x")).alias("x")), percent))
+            # sets are made of those that are compared only
+            few = of_ids(own, data, at.select("id"))
+            new = verified(_rest(own, at, few.select("id", "n", as_set(F.col("x")).alias("x")), percent, sketch))
         if not new.isEmpty():
             edges = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(new)
             old, roots = roots, scratch.put(components(spark, own, edges), "roots")
@@ -338,7 +378,7 @@ def linked_groups(scratch: Scratch, pairs: DataFrame, data: DataFrame, as_set, p
     return None if roots.isEmpty() else roots
 
 
-def _rest(scratch: Scratch, at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(scratch: Scratch, at: DataFrame, sets: DataFrame, percent: int, sketch: DataFrame | None = None) -> DataFrame:
     """Pairs (a, p) of members (p, id, root, main, members, others) outside the main component with any other of the family.
 
     A pair comes out if it can be a link by its members' fingerprints, of two bytes an element
@@ -351,9 +391,11 @@ def _rest(scratch: Scratch, at: DataFrame, sets: DataFrame, percent: int) -> Dat
     prints = sets.select("id", "n", F.array_distinct(F.transform("x", lambda h: F.shiftright(h, 48).cast("short"))).alias("prints"))
     prints = scratch.put(prints.join(mine, "id"), "prints")
     rows = at.join(prints, "id")
+    keep = ["id", "root", "n", "mine", "prints"]
+    if sketch is not None:
+        rows, keep = rows.join(sketch.drop("n"), "id"), keep + [f"w{j}" for j in range(WORDS)]
     deal = lambda c, by: F.pmod(F.xxhash64("id", F.lit(by)), F.ceil(F.col(c) / BLOCK)).alias(by)
     every = lambda c, by: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(c) / BLOCK) - 1)).alias(by)
-    keep = ["id", "root", "n", "mine", "prints"]
     a = rows.select("p", deal("members", "part"), every("others", "turn"), (F.col("root") == F.col("main")).alias("inside"), *[F.col(c).alias(f"a_{c}") for c in keep])
     b = rows.where("root <> main").select("p", every("members", "part"), deal("others", "turn"), *[F.col(c).alias(f"b_{c}") for c in keep])
     n, m = F.col("a_n"), F.col("b_n")
@@ -362,6 +404,8 @@ def _rest(scratch: Scratch, at: DataFrame, sets: DataFrame, percent: int) -> Dat
     first = F.array_min(F.array_intersect("a_mine", "b_mine")) == F.col("p")
     # two that are both outside meet twice
     test = (F.col("a_root") != F.col("b_root")) & (F.col("inside") | (F.col("a_id") < F.col("b_id"))) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+    if sketch is not None:
+        test = test & (shared_at_most("a_", "b_") * (100 + percent) >= (n + m) * percent)
     test = test & first & (shared * (100 + percent) >= (n + m) * percent)
     both = a.join(b, ["p", "part", "turn"]).where(test)
     return scratch.put(both.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("p")).distinct(), "maybe")

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, linked_groups, of_ids, star_ids, stars, unpacked, whole_row
+from .common import Scratch, linked_groups, of_ids, sketches, star_ids, stars, unpacked, whole_row
 
 
 @dataclass(frozen=True)
@@ -70,6 +70,15 @@ def shingles(line: Column, chars: int) -> Column:
     return once(F.encode(line, "UTF-16BE"), narrow)
 
 
+def runs(rows: DataFrame, chars: int) -> DataFrame:
+    """id, n, h: of rows (id, n, x), the hash of each shingle of x as a row; compiled, but for lines with characters outside the BMP."""
+    plain = rows.where(F.octet_length(F.encode("x", "UTF-16BE")) == 2 * F.length("x")).select("id", "n", F.encode("x", "UTF-16BE").alias("wide"))
+    at = F.sequence(F.lit(1), F.greatest(F.octet_length("wide") - (2 * chars - 1), F.lit(1)), F.lit(2))
+    plain = plain.select("id", "n", "wide", F.explode(at).alias("i")).select("id", "n", F.xxhash64(F.substring(F.col("wide"), F.col("i"), F.lit(2 * chars))).alias("h"))
+    other = rows.where(F.octet_length(F.encode("x", "UTF-16BE")) != 2 * F.length("x"))
+    return plain.union(other.select("id", "n", F.explode(shingles(F.col("x"), chars)).alias("h")))
+
+
 def buckets(rows: DataFrame, p: Shape) -> DataFrame:
     """id, bucket: of rows (id, hashes), a row for each band; null where only points follow.
 
@@ -131,8 +140,9 @@ def removals(docs: DataFrame, p: Shape = Shape()) -> DataFrame:
     texts, known = known, scratch.put(known.drop("line"), "first")
     scratch.drop(texts)
     scratch.sweep()
-    roots = linked_groups(scratch, pairs, held, lambda x: shingles(x, p.chars), p.percent)
-    scratch.drop(pairs, held)
+    sketch = scratch.put(sketches(runs(held, p.chars)), "sketches")
+    roots = linked_groups(scratch, pairs, held, lambda x: shingles(x, p.chars), p.percent, sketch=sketch)
+    scratch.drop(pairs, held, sketch)
 
     first = known
     # the first place of each line: the smallest document, and there the smallest number

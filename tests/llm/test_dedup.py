@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -156,6 +157,43 @@ def test_the_rest_is_compared_by_small_prints(spark, monkeypatch, tmp_path, crow
     assert sizes["maybe"][0] <= 21
 
 
+@pytest.mark.parametrize("crowd", [2, 1024])
+def test_sketches_leave_no_link_out(spark, monkeypatch, crowd):
+    """With sketches the components are the same, and hardly a pair that is no link has its sets read; small and crowded sketches too."""
+    monkeypatch.setattr(common, "CROWD", crowd)
+    rng = random.Random(11)
+    sets = []
+    for size in (9, 45, 300, 3000):
+        core = [rng.getrandbits(64) - 2**63 for _ in range(size)]
+        for share in (0.5, 0.7, 0.88, 0.89, 0.95, 1):
+            for _ in range(3):
+                kept = rng.sample(core, int(size * share))
+                sets.append(set(kept) | {rng.getrandbits(64) - 2**63 for _ in range(size - len(kept))})
+    parent = {i: i for i in range(len(sets))}
+    for a in parent:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    data = spark.createDataFrame([(i, len(x), sorted(x)) for i, x in enumerate(sets)], "id long, n long, x array<long>")
+    marks = spark.createDataFrame([(i, b) for i in range(len(sets)) for b in (-1, i // 18)], "id long, bucket long")
+    scratch, put, read = common.Scratch(spark), common.Scratch.put, []
+    sketch = scratch.put(common.sketches(data.selectExpr("id", "n", "explode(concat(x, x)) AS h")), "sketches")
+    monkeypatch.setattr(common.Scratch, "put", lambda self, df, name: (out := put(self, df, name), name == "near" and read.append(out.count()))[0])
+    got = {r.id: r.root for r in common.linked_groups(scratch, common.stars(scratch, marks), data, lambda x: x, 80, sketch=sketch).collect()}
+    assert {i: got.get(i, i) for i in parent} == {i: find(parent, i) for i in parent}
+    assert 0 < sum(read) < len(sets) * 4
+
+
+def test_shingles_as_rows(spark):
+    texts = ["", "a", "a line", "8 charac", "9 charact", "Óra ciónbobo \u4e2d\u6587", "\U0001f600 outside " * 3, "=" * 40]
+    rows = spark.createDataFrame([(i, 1, x) for i, x in enumerate(texts)], "id long, n long, x string")
+    got = {i: set() for i in range(len(texts))}
+    for r in linededup.runs(rows, 8).collect():
+        got[r.id].add(r.h)
+    assert got == {r.id: set(r.h) for r in rows.select("id", linededup.shingles(rows.x, 8).alias("h")).collect()}
+
+
 def test_clashing_names(spark):
     """Columns called as the operators' own ones come back untouched."""
     from pyspark.sql import functions as F
@@ -247,6 +285,24 @@ def test_similar_lines_share_a_band(spark):
     assert alike(few).where("shared = all").count() == 50
 
 
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    """Though the plan is still held; a plan that was written can be run again, and the setting is as before."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+
+    before, setting = files(), spark.conf.get(common.SHUFFLES_GO, None)
+    df = spark.range(1000).selectExpr("id % 100 AS k").groupBy("k").count()
+    out = common.Scratch(spark).put(df, "sums")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == df.count() == 100 and spark.conf.get(common.SHUFFLES_GO, None) == setting
+
+
 @pytest.mark.parametrize("few", [common.FEW_MASKS, 0])
 def test_rows_of_ids(spark, monkeypatch, few):
     """One bit an id finds what a join does, at the ends of words of bits and of partitions."""
